@@ -38,6 +38,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def as_struct(df: DataFrame) -> Column:
+    """The whole row in one column, so that names can't clash with ours."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def slices(n: int, bounds: np.ndarray):
     """Index pairs of consecutive bounds."""
     return zip(bounds[:n], bounds[1 : n + 1])

@@ -16,7 +16,7 @@ null and empty texts have none but are sampled like the others of their source.
 A source without any character has its documents once each. Sources that the
 weights leave out, or give 0, are left out. Rows are sampled separately even if
 they share a doc_id (the order among them is that of a hash of their text).
-Null doc_ids come first. No rows give no rows.
+Null doc_ids come first. A column copy_no of docs is replaced. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import as_struct
+
 UNIT = 1_000_000
 BUCKETS = 1024
 SEED = 17
@@ -55,7 +57,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     them. total: characters to draw in all; as many as there are without it.
     """
     plain = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copy_no"]).alias("_row"),
+        as_struct(docs.drop("copy_no")).alias("_row"),
         F.col("doc_id").cast("long").alias("_id"),
         F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source").cast("string"))).alias("_source"),
         F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("_size"),

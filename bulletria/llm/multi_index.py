@@ -188,7 +188,8 @@ def approximate_top_k(
     )
     slices = max(1, -(-n // SLICE_ROWS))
     cut = F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("cut")
-    sent = plan.select("grp", F.explode("cells").alias("cell")).join(entries.select("cell", "vec_id", "embedding", cut), "cell")
+    taken = plan.select(F.col("grp").alias("to"), F.explode("cells").alias("cell"))
+    sent = taken.join(entries.select("cell", "vec_id", "embedding", cut), "cell")
     wide = plan.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    near = wide.groupBy("grp", "cut").cogroup(sent.groupBy("grp", "cut")).applyInArrow(_rerank(dim, k), found)
+    near = wide.groupBy("grp", "cut").cogroup(sent.groupBy("to", "cut")).applyInArrow(_rerank(dim, k), found)
     return best_k(near, k)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as S
-from .common import SCATTER, SCATTER_DDL, gathered, materialize, scatter
+from .common import SCATTER, SCATTER_DDL, fresh, gathered, materialize, scatter
 
 RADIUS = 14
 SEGMENTS = 5
@@ -239,5 +239,6 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs without the documents of which a near copy stays."""
-    gone = near_duplicate_groups(docs, radius).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = near_duplicate_groups(docs, radius).where(~F.col("kept")).select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -153,7 +153,7 @@ WITH turns AS (
   )
 )
 SELECT conv_id, CAST(len(c) AS INTEGER) AS n_turns,
-       array_to_string(list_transform(c, t ->
+       array_to_string(list_transform(c, lambda t:
          '<|' || replace(coalesce(t.r, 'unknown'), '<|', '< |') || '|>' || chr(10) || replace(coalesce(t.t, ''), '<|', '< |') || '<|end|>' || chr(10)), '') AS chat
 FROM kept
 """
@@ -163,7 +163,7 @@ _TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'",
 SQL["op6_license_scan"] = rf"""
 WITH templates(tid, license, body) AS (VALUES {_TEMPLATE_ROWS}),
 twords AS (SELECT tid, license, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM templates),
-tgrams AS (SELECT DISTINCT tid, license, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS g FROM twords),
+tgrams AS (SELECT DISTINCT tid, license, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM twords),
 tsizes AS (SELECT tid, count(*) AS n FROM tgrams GROUP BY tid),
 paragraphs AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\n[ \t\r]*\n')) AS p FROM documents),
 units AS (
@@ -172,7 +172,7 @@ units AS (
   UNION ALL SELECT doc_id, unnest(string_split(p, chr(10))) FROM paragraphs
 ),
 uwords AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(u, '[a-z0-9]+') AS w FROM units),
-ugrams AS (SELECT DISTINCT uid, doc_id, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS g FROM uwords WHERE len(w) > 1),
+ugrams AS (SELECT DISTINCT uid, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM uwords WHERE len(w) > 1),
 usizes AS (SELECT uid, count(*) AS n FROM ugrams GROUP BY uid),
 shared AS (SELECT uid, doc_id, tid, license, count(*) AS c FROM ugrams JOIN tgrams USING (g) GROUP BY ALL),
 scored AS (
@@ -192,7 +192,7 @@ parts AS (
     lower(regexp_replace(regexp_replace(regexp_replace(
       regexp_extract(url, '^\s*(?:(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//)?([^/?#]*)([^?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\.$', '')) AS host,
     list_filter(string_split(regexp_replace(
-      regexp_extract(url, '^\s*(?:(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//)?([^/?#]*)([^?#]*)', 2), '\s+$', ''), '/'), s -> s <> '') AS path
+      regexp_extract(url, '^\s*(?:(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//)?([^/?#]*)([^?#]*)', 2), '\s+$', ''), '/'), lambda s: s <> '') AS path
   FROM pages
 ), whole AS (
   SELECT *, coalesce(regexp_matches(host, '^[\p{{L}}\p{{N}}_\-]+(\.[\p{{L}}\p{{N}}_\-]+)*$'), false) AS valid, string_split(host, '.') AS labels FROM parts

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as S
-from .common import SCATTER, SCATTER_DDL, gathered, materialize, scatter
+from .common import SCATTER, SCATTER_DDL, as_struct, gathered, materialize, scatter
 
 THRESHOLD = 50
 DIGIT = 10
@@ -254,15 +254,17 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     """
     spans = repeated_spans(docs, threshold, digit).where("later")
     cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct(F.col("start_token").alias("s"), F.col("end_token").alias("e"))).alias("_cuts"))
-    match = docs["doc_id"].cast("long") == F.col("_id")
+    rows = docs.select(as_struct(docs).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_own"))
+    match = F.col("_doc") == F.col("_id")
     if _repeats(docs):
-        own = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("text is not null")
-        cuts = cuts.join(own.groupBy("_id").agg(F.min("text").alias("_text")), "_id").withColumn("_text", F.xxhash64("_text"))
-        match = match & (F.xxhash64(docs["text"]) == F.col("_text"))
-    both = docs.join(materialize(cuts), match, "left")
-    new = both.withColumn("_new", F.arrow_udf(_without, "string")(F.when(F.col("_cuts").isNotNull(), F.col("text")), F.col("_cuts")))
+        least = docs.where("text is not null").groupBy(F.col("doc_id").cast("long").alias("_of")).agg(F.min(F.col("text").cast("string")).alias("_least"))
+        cuts = cuts.join(least, F.col("_id") == F.col("_of")).select("_id", "_cuts", F.xxhash64("_least").alias("_least"))
+        match = match & (F.xxhash64("_own") == F.col("_least"))
+    both = rows.join(materialize(cuts), match, "left")
+    new = both.withColumn("_new", F.arrow_udf(_without, "string")(F.when(F.col("_cuts").isNotNull(), F.col("_own")), F.col("_cuts")))
     new = new.where(F.col("_new").isNull() | F.col("_new").rlike(r"[^\x00-\x20]"))
-    out = {"text": F.coalesce("_new", "text")}
+    row = F.col("_row")
+    out = {"text": F.coalesce("_new", row["text"])}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return new.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+        out["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new")).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return new.select(*[out.get(c, row[c]).alias(c) for c in docs.columns])
