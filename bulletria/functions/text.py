@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +12,14 @@ _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 CLOSERS = list(".!?\"')]")
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once a row however often f uses it, within lambdas too."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def split_lines(text: Column) -> Column:
     """Lines of a text, at any Unicode line end; a line end at the very end adds none."""
-    parts = F.split(text, _LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, _LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def strip(text: Column) -> Column:

@@ -263,8 +263,8 @@ def json_schema(of: T.DataType | None = None, title: str = "Envelope", name: str
 
 
 CONFIG_DDL = (
-    "llm struct<mode:string,model:string,stages:map<string,boolean>>, "
-    "runtime struct<deterministic:boolean,timeout_seconds:int,ocr:boolean>, bundles struct<" + ",".join(f"{b}:boolean" for b in (
+    "llm struct<mode:string,model:string,api_key_env:string,stages:map<string,boolean>,cache_dir:string>, "
+    "runtime struct<deterministic:boolean,timeout_seconds:double,include_full_docling_dict:boolean>, bundles struct<" + ",".join(f"{b}:boolean" for b in (
         "notices", "corrigenda", "document_index", "spatial_markdown", "full_text", "tables", "debug_trace", "images", "gazette_spatial_json", "docling_markdown", "docling_json")) + ">"
 )
 

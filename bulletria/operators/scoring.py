@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clip, compact, ends_clean, fixed, is_blank, minus, round3, round_to, rstrip, split_lines, strip
+from ..functions.text import clip, compact, ends_clean, fixed, is_blank, let, minus, round3, round_to, rstrip, split_lines, strip
 
 HIGH, MEDIUM = 0.80, 0.50
 MARKERS = sorted(["whereas", "take notice", "dated the", "in exercise", "it is notified", "in pursuance", "pursuant to", "(cap. ", "(no. "])
@@ -69,10 +69,13 @@ def structure(text: Column, titled: Column, table: Column) -> tuple[Column, Colu
 
 def mid_sentence_breaks(text: Column) -> Column:
     """Lines that stop in mid-sentence before one that begins in lower case."""
-    lines = F.filter(split_lines(text), lambda x: ~is_blank(x))
-    pairs = F.zip_with(lines, F.slice(lines, 2, F.size(lines)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    broken = F.filter(pairs, lambda p: p["b"].isNotNull() & ~ends_clean(p["a"]) & ~F.substring(rstrip(p["a"]), -1, 1).isin(list(",;:-")) & strip(p["b"]).rlike(r"^\p{Ll}"))
-    return F.when(F.size(lines) < 2, 0).otherwise(F.size(broken))
+
+    def broken(lines: Column) -> Column:
+        pairs = F.zip_with(lines, F.slice(lines, 2, F.size(lines)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        runs_on = F.filter(pairs, lambda p: p["b"].isNotNull() & ~ends_clean(p["a"]) & ~F.substring(rstrip(p["a"]), -1, 1).isin(list(",;:-")) & strip(p["b"]).rlike(r"^\p{Ll}"))
+        return F.when(F.size(lines) < 2, 0).otherwise(F.size(runs_on))
+
+    return let(F.filter(split_lines(text), lambda x: ~is_blank(x)), broken)
 
 
 def words_of(text: Column) -> Column:
@@ -81,34 +84,56 @@ def words_of(text: Column) -> Column:
 
 def repeated_grams(words: Column, width: int = 6) -> Column:
     """How many distinct runs of width words come twice or more."""
-    runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.array_join(F.slice(words, i, width), " ")))
-    twice = F.filter(runs, lambda g, i: (i > 0) & (g == F.get(runs, i - 1)) & ((i == 1) | (g != F.get(runs, i - 2))))
-    return F.when(F.size(words) >= width, F.size(twice)).otherwise(0)
+
+    def grams(w: Column) -> Column:
+        return F.sort_array(F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.array_join(F.slice(w, i, width), " ")))
+
+    def twice(runs: Column) -> Column:
+        return F.size(F.filter(runs, lambda g, i: (i > 0) & (g == F.get(runs, i - 1)) & ((i == 1) | (g != F.get(runs, i - 2)))))
+
+    return let(words, lambda w: F.when(F.size(w) >= width, let(grams(w), twice)).otherwise(0))
 
 
 def mid_capitals(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)(?<=[a-z]{3})\s+[A-Z][a-z]{3,}"))
 
 
-def spatial(text: Column) -> tuple[Column, Column]:
+def spatial_counts(text: Column) -> Column:
+    """struct<many, breaks, repeats, caps, n>: what the score of the reading order is made of."""
+
+    def counts(words: Column) -> Column:
+        n = F.size(words)
+        return F.struct(
+            n.alias("n"),
+            F.when(n > 50, repeated_grams(words)).otherwise(0).alias("repeats"),
+            F.when(n > 100, mid_capitals(text)).otherwise(0).alias("caps"),
+            mid_sentence_breaks(text).alias("breaks"),
+        )
+
+    several = F.size(F.filter(split_lines(text), lambda x: ~is_blank(x))) >= 2
+    none = F.struct(*[F.lit(0).alias(k) for k in ("n", "repeats", "caps", "breaks")])
+    return F.when(several, let(words_of(text), counts)).otherwise(none)
+
+
+def spatial_parts(text: Column) -> Column:
+    """struct<score, reasons>"""
     text = F.coalesce(text, F.lit(""))
-    many = F.size(F.filter(split_lines(text), lambda x: ~is_blank(x))) >= 2
-    breaks = F.when(many, mid_sentence_breaks(text)).otherwise(0)
-    words = words_of(text)
-    n = F.size(words)
-    repeats = F.when(many & (n > 50), repeated_grams(words)).otherwise(0)
-    caps = F.when(many & (n > 100), mid_capitals(text)).otherwise(0)
-    density = caps / F.greatest(F.lit(1), n)
-    dense = (density > 0.10) & (caps > 20)
-    score = F.lit(1.0) + minus(breaks >= 3, F.least(F.lit(0.5), breaks * F.lit(0.1))) + minus(repeats >= 3, F.least(F.lit(0.3), repeats * F.lit(0.05)))
-    score = score + minus(dense, F.least(F.lit(0.15), density * F.lit(0.5)))
-    return F.when(text == "", F.lit(0.0)).otherwise(clip(score)), F.when(text == "", F.array(F.lit("empty text"))).otherwise(
-        compact(
+
+    def judge(c: Column) -> Column:
+        breaks, repeats, caps, n = c["breaks"], c["repeats"], c["caps"], c["n"]
+        density = caps / F.greatest(F.lit(1), n)
+        dense = (density > 0.10) & (caps > 20)
+        score = F.lit(1.0) + minus(breaks >= 3, F.least(F.lit(0.5), breaks * F.lit(0.1))) + minus(repeats >= 3, F.least(F.lit(0.3), repeats * F.lit(0.05)))
+        score = score + minus(dense, F.least(F.lit(0.15), density * F.lit(0.5)))
+        reasons = compact(
             F.when(breaks >= 3, F.concat(breaks.cast("string"), F.lit(" mid-sentence breaks (possible column interleaving)"))),
             F.when(repeats >= 3, F.concat(repeats.cast("string"), F.lit(" repeated 6-grams (possible column merge)"))),
             F.when(dense, F.concat(F.lit("high mid-sentence cap density "), fixed(density, 2), F.format_string(" (%d/%d words)", caps, n))),
         )
-    )
+        empty = text == ""
+        return F.struct(F.when(empty, F.lit(0.0)).otherwise(clip(score)).alias("score"), F.when(empty, F.array(F.lit("empty text"))).otherwise(reasons).alias("reasons"))
+
+    return let(spatial_counts(text), judge)
 
 
 def boundary(kind: Column, text: Column, start: Column, end: Column, next_start: Column) -> tuple[Column, Column]:
@@ -135,7 +160,7 @@ def table_score(table: Column) -> tuple[Column, Column]:
     jumps = F.when(F.size(serials) >= 2, jumps).otherwise(0)
     lengths = F.transform(F.filter(rows, lambda r: F.coalesce(r["name"], F.lit("")) != ""), lambda r: F.length(strip(r["name"])))
     mean = F.aggregate(lengths, F.lit(0), lambda a, x: a + x) / F.greatest(F.size(lengths), F.lit(1))
-    over = F.size(F.filter(lengths, lambda x: x > mean * 3))
+    over = let(mean, lambda m: F.size(F.filter(lengths, lambda x: x > m * 3)))
     odd = (F.size(lengths) > 0) & (over >= F.greatest(F.lit(1), F.floor(F.size(rows) / 10)))
     score = F.lit(1.0) + minus(repairs > 0, F.least(F.lit(0.3), repairs * F.lit(0.05))) + minus(jumps > 0, F.least(F.lit(0.3), jumps * F.lit(0.05))) + minus(odd, 0.15)
     reasons = compact(
@@ -169,17 +194,17 @@ def score_notices(notices: DataFrame) -> DataFrame:
     found = {
         "notice_number": notice_number(F.col("notice_no")),
         "structure": structure(F.col("full_text"), F.size("title_lines") > 0, has_table),
-        "spatial": spatial(F.col("full_text")),
+        "spatial": (F.col("_read.score"), F.col("_read.reasons")),
         "boundary": boundary(F.col("header_match"), F.col("full_text"), F.col("line_start"), F.col("line_end"), F.col("_next")),
         "table": table_score(table),
     }
-    scored = notices.withColumn("_next", nexts)
+    scored = notices.withColumn("_next", nexts).withColumn("_read", spatial_parts(F.col("full_text")))
     scored = scored.withColumns({f"_{k}": round3(s) for k, (s, _) in found.items()} | {f"_why_{k}": F.transform(r, lambda x, k=k: F.concat(F.lit(f"{k}: "), x)) for k, (_, r) in found.items()})
     scored = scored.withColumn("_table", F.when(table.isNotNull(), F.col("_table")))
     scored = scored.withColumn("_composite", round3(composite({k: F.col(f"_{k}") for k in PARTS}, F.col("_table"))))
     fields = [F.col(f"_{k}").alias(k) for k in (*PARTS, "table", "composite")]
     out = scored.withColumn("confidence_scores", F.struct(*fields)).withColumn("confidence_reasons", F.concat(*[F.col(f"_why_{k}") for k in (*PARTS, "table")]))
-    return out.drop("_next", "_composite", *[f"_{k}" for k in found], *[f"_why_{k}" for k in found])
+    return out.drop("_next", "_read", "_composite", *[f"_{k}" for k in found], *[f"_why_{k}" for k in found])
 
 
 def cap_by_ocr(notices: DataFrame, docs: DataFrame) -> DataFrame:

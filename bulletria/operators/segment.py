@@ -31,9 +31,8 @@ FURNITURE = [
     r"(?i)Vol[.]?\s*[CILVX]+\s*-+\s*No[.]?\s*[0-9]+",
     rf"(?i)NAIROBI\s*[,]?\s+[0-9]{{1,2}}{_ORDINAL}?\s+\w+[,]?\s+[0-9]{{4}}",
 ]
-FURNITURE_LINE = "|".join(rf"(?U)^\s*(?:{p})\s*$" if "(?i)" not in p else rf"(?Ui)^\s*(?:{p.replace('(?i)', '')})\s*$" for p in FURNITURE)
-_SENSITIVE = "|".join(p for p in FURNITURE if "(?i)" not in p)
-_FREE = "|".join(p.replace("(?i)", "") for p in FURNITURE if "(?i)" in p)
+EXACT_CASE = "|".join(p for p in FURNITURE if "(?i)" not in p)
+ANY_CASE = "|".join(p.replace("(?i)", "") for p in FURNITURE if "(?i)" in p)
 
 #: What marks the end of notices, and at how many lines from the last header it may.
 TRAILERS = [
@@ -48,7 +47,7 @@ TRAILERS = [
 
 def is_furniture(line: Column) -> Column:
     """Running headers, which are dropped wherever they stand."""
-    return line.rlike(rf"(?U)^\s*(?:{_SENSITIVE})\s*$") | line.rlike(rf"(?Ui)^\s*(?:{_FREE})\s*$")
+    return line.rlike(rf"(?U)^\s*(?:{EXACT_CASE})\s*$") | line.rlike(rf"(?Ui)^\s*(?:{ANY_CASE})\s*$")
 
 
 def without_furniture(lines: Column) -> Column:
@@ -228,3 +227,38 @@ def trim_trailer(notices: DataFrame) -> DataFrame:
 def split_notices(docs: DataFrame) -> DataFrame:
     """All notices of (doc_id, text), in order of notice_idx."""
     return trim_trailer(stitch(cut_notices(docs)))
+
+
+def plain_notices(docs: DataFrame, strip_headers: bool = False, compact: bool = False) -> DataFrame:
+    """The plainer split of a text: strict headers alone, nothing recovered, stitched or trimmed.
+
+    compact leaves out the lines and segments. preamble_notices() has what comes
+    before the first header.
+    """
+    plain = rf"^GAZET(?:TE|E)\s+NOTICE\s+NO[.]\s*([0-9]+)\s*$"
+    lined = docs.where(~is_blank(F.col("text"))).select("doc_id", split_lines(F.col("text")).alias("lines"))
+    marks = F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.regexp_extract(strip(x), plain, 1).alias("no")))
+    found = lined.withColumn("found", F.filter(marks, lambda s: s["no"] != ""))
+    pieces = F.transform(
+        "found",
+        lambda b, i: F.struct(
+            i.alias("notice_idx"), b["no"].alias("notice_no"), F.slice("lines", b["at"] + 2, F.coalesce(F.get("found", i + 1)["at"], F.size("lines")) - b["at"] - 1).alias("body_lines")
+        ),
+    )
+    rows = found.select("doc_id", F.inline(pieces))
+    if strip_headers:
+        rows = rows.withColumn("body_lines", without_furniture(F.col("body_lines")))
+    stack = title_stack(F.col("body_lines"))
+    rows = rows.withColumn("_stack", stack)
+    rest = F.when(F.size("_stack.rest") > 0, F.col("_stack.rest")).otherwise(F.col("body_lines"))
+    out = {"title_lines": F.transform("_stack.titles", strip), "derived_table": serial_table(F.col("body_lines")), "body_text": strip(F.array_join("body_lines", "\n"))}
+    if not compact:
+        out |= {"body_lines": F.col("body_lines"), "body_segments": segment_lines(rest)}
+    return rows.select("doc_id", "notice_idx", "notice_no", *[c.alias(n) for n, c in out.items()])
+
+
+def preamble_notices(docs: DataFrame) -> DataFrame:
+    """(doc_id, preamble): the lines before the first strict header, all of them where there is none."""
+    lined = docs.select("doc_id", split_lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    first = F.array_position(F.transform("lines", lambda x: header_number(x) != ""), True).cast("int")
+    return lined.select("doc_id", F.when(first > 0, F.slice("lines", 1, first - 1)).otherwise(F.col("lines")).alias("preamble"))
