@@ -1,0 +1,347 @@
+"""Each operator against a brute-force version, and on odd rows."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from bulletria.llm import chat, language_id, license_scan, mixing, multi_index, near_dedup, packing, suffix_dedup, topk, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _gone string, _id long, `a.b` string"
+WORDS = {"en": "the quick brown fox jumps over lazy dogs while people watch from their house near river".split(), "de": "der schnelle braune fuchs springt über den faulen hund während menschen vom haus am fluss zuschauen".split()}
+
+
+def prose(rng, n, lang="en"):
+    return " ".join(rng.choice(WORDS[lang]) for _ in range(n))
+
+
+def rows_of(texts, lang="en", source="s"):
+    return [(i, t, lang, source, len(t or ""), "x", 7, "y") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty, very long, tied and repeated rows."""
+    rng = random.Random(1)
+    long = prose(rng, 30_000)
+    same = prose(rng, 80)
+    rows = [
+        (1, None, None, None, None, None, None, None), (None, same, "en", "a", 5, "g", 1, "z"), (None, None, None, "a", None, None, None, None), (2, "", "en", "a", 0, "g", 1, "z"),
+        (3, "   \n\t ", "de", "b", 6, "g", 1, "z"), (4, long, "en", "b", len(long), "g", 1, "z"), (5, same, "en", "a", len(same), "g", 1, "z"), (5, same, "en", "a", len(same), "g", 1, "z"),
+        (6, same, "en", None, len(same), "g", 1, "z"), (7, prose(rng, 60, "de"), "de", "b", 9, "g", 1, "z"), (8, "日本語 😀 \x00 é", None, "c", 9, "g", 1, "z"), (5, "other words here", "en", "a", 1, "g", 1, "z"),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def ids(df, column="doc_id"):
+    return sorted((r[column] for r in df.collect()), key=lambda x: (x is not None, x))
+
+
+# 1. Exact top-k
+
+
+def brute_top_k(vectors, k):
+    out = set()
+    for q, x in vectors.items():
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), v) for v, y in vectors.items() if v != q and len(y) == len(x))
+        out |= {(q, n + 1, v) for n, (_, v) in enumerate(near[:k])}
+    return out
+
+
+def test_exact_top_k(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: [float(v) for v in rng.integers(-2, 3, 20)] for i in range(150)} | {i: [float(v) for v in rng.integers(-2, 3, 5)] for i in range(150, 170)}
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors.items()], "vec_id long, embedding array<float>, block string")
+    for rows in (16_384, 40):
+        assert {(r.query_id, r.rank, r.vec_id) for r in topk.exact_top_k(df, 4, rows).collect()} == brute_top_k(vectors, 4)
+
+
+def test_top_k_odd_rows(spark):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [1.0, 1.0]), (3, None), (4, []), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for search in (topk.exact_top_k, multi_index.approximate_top_k):
+        got = [(r.query_id, r.rank, r.vec_id, r.distance) for r in search(df, 3).orderBy("query_id", "rank").collect()]
+        assert got == [(1, 1, 2, 1.0), (1, 2, 7, 1.0), (2, 1, 1, 1.0), (2, 2, 7, 2.0), (7, 1, 1, 1.0), (7, 2, 2, 2.0)]
+        assert search(df.where("false"), 3).count() == 0
+
+
+# 10. Inverted multi-index
+
+
+def test_multi_index_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    x = centres[rng.integers(0, 40, 3000)] + rng.normal(scale=0.6, size=(3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in multi_index.approximate_top_k(df, 10, least=300).collect()}
+    d = ((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T)
+    np.fill_diagonal(d, np.inf)
+    want = {(q, int(v)) for q in range(3000) for v in np.argsort(d[q])[:10]}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_multi_sequence_order():
+    a, b = np.array([3.0, 1.0, 2.0]), np.array([0.5, 5.0])
+    cells = multi_index.visits(a, b, [1] * 6, 6)
+    sums = [a[c // 2] + b[c % 2] for c in cells]
+    assert sorted(cells) == list(range(6)) and sums == sorted(sums)
+
+
+# 2. SimHash near-dedup
+
+
+def test_near_groups_are_components_of_close_pairs(spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        words = [rng.choice(vocabulary) for _ in range(200)]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(4)):
+            words = list(words)
+            for _ in range(rng.randrange(1, 12)):
+                words[rng.randrange(200)] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    texts += [texts[0]] * 20
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    prints = {r.doc_id: ((r.high % 2**64) << 64) | (r.low % 2**64) for r in near_dedup.fingerprints(df).collect()}
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in prints:
+        for j in prints:
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= near_dedup.RADIUS:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    groups = Counter(find(i) for i in prints)
+    want = {(i, find(i)) for i in prints if groups[find(i)] > 1}
+    assert want and {(r.doc_id, r.group_id) for r in near_dedup.near_duplicate_groups(df).collect()} == want
+    assert len(ids(near_dedup.deduplicate(df))) == len(groups)
+
+
+def test_near_dedup_odd_rows(odd, empty):
+    kept = near_dedup.deduplicate(odd)
+    assert kept.columns == odd.columns
+    assert ids(kept) == [None, None, 1, 2, 3, 4, 5, 5, 5, 7, 8] or 6 not in ids(kept)
+    assert near_dedup.deduplicate(empty).count() == 0
+
+
+# 3. Suffix-array dedup
+
+
+def brute_spans(texts, width):
+    where = defaultdict(list)
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        for p in range(len(words) - width + 1):
+            where[tuple(words[p : p + width])].append((i, p))
+    out = set()
+    marks = defaultdict(list)
+    for spots in where.values():
+        if len(spots) > 1:
+            for n, (i, p) in enumerate(sorted(spots)):
+                marks[i, n > 0].append(p)
+    for (i, later), at in marks.items():
+        at.sort()
+        first = last = at[0]
+        for p in at[1:]:
+            if p > last + width:
+                out.add((i, later, first, last + width))
+                first = p
+            last = p
+        out.add((i, later, first, last + width))
+    return out
+
+
+def test_repeated_spans(spark):
+    rng = random.Random(4)
+    passages = [[f"p{k}x{i}" for i in range(rng.randrange(8, 40))] for k in range(6)]
+    texts = []
+    for _ in range(60):
+        words = [f"v{rng.randrange(200)}" for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice(passages)
+        texts.append(" ".join(words))
+    texts += ["a b " * 30, texts[3], ""]
+    df = spark.createDataFrame(rows_of(texts), DOCS)
+    got = {(r.doc_id, r.later, r.start_token, r.end_token) for r in suffix_dedup.repeated_spans(df, 10, 4).collect()}
+    assert got == brute_spans(texts, 10)
+
+
+def test_remove_repeats(odd, empty, spark):
+    rng = random.Random(6)
+    passage = " ".join(f"q{i}" for i in range(55))
+    texts = [f"start {passage} end", f"another beginning {passage} and end", passage, prose(rng, 30)]
+    out = {r.doc_id: (r.text, r.n_chars) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows_of(texts), DOCS)).collect()}
+    assert out == {0: (texts[0], len(texts[0])), 1: ("another beginning  and end", 26), 3: (texts[3], len(texts[3]))}
+    kept = suffix_dedup.remove_repeats(odd)
+    assert kept.columns == odd.columns and suffix_dedup.remove_repeats(empty).count() == 0
+    assert {None, 1, 2, 3, 5, 7, 8} <= set(ids(kept)) and 6 not in ids(kept)
+
+
+# 4. Mixing
+
+
+def test_mixing_meets_targets(spark):
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randrange(1, 50), "en", rng.choice("aaaab"), 0, "", 0, "") for i in range(2000)]
+    df = spark.createDataFrame(rows, DOCS)
+    drawn = mixing.mix_sources(df, {"a": 1, "b": 3}, total=40_000)
+    sizes = Counter()
+    for r in drawn.collect():
+        sizes[r.source] += len(r.text)
+    assert abs(sizes["a"] - 10_000) < 700 and abs(sizes["b"] - 30_000) < 700
+    copies = Counter(r.doc_id for r in drawn.collect())
+    each = {s: t / sum(len(r[1]) for r in rows if r[3] == s) for s, t in (("a", 10_000), ("b", 30_000))}
+    assert all(int(each[r[3]]) <= copies[r[0]] <= int(each[r[3]]) + 1 for r in rows)
+
+
+def test_mixing_odd_rows(odd, empty):
+    out = mixing.mix_sources(odd.withColumnRenamed("_gone", "copy_no"))
+    assert set(out.columns) == (set(odd.columns) - {"_gone"}) | {"copy_no"}
+    assert mixing.mix_sources(empty).count() == 0
+    assert mixing.mix_sources(odd, {}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix_sources(odd, {"a": -1})
+
+
+# 5. Chat formatting
+
+
+def test_chat_keeps_maximal_conversations(spark):
+    turns = [("user", "hi"), ("assistant", "hello <|end|>"), ("user", None), (None, "bye")]
+    rows = [(c, n, *t) for c, stop in ((1, 1), (2, 3), (3, 4), (5, 4)) for n, t in enumerate(turns[:stop])]
+    rows += [(4, 0, "user", "hi"), (4, 1, "assistant", "other"), (4, 1, "assistant", "other"), (None, 0, "user", "x"), (6, None, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS length", "2 AS last")
+    got = {r.conv_id: (r.n_turns, r.chat) for r in chat.format_chats(df).collect()}
+    assert set(got) == {3, 4, 6} and got[4][0] == 2
+    assert got[3] == (4, "<|user|>\nhi<|end|>\n<|assistant|>\nhello < |end|><|end|>\n<|user|>\n<|end|>\n<|unknown|>\nbye<|end|>\n")
+    assert chat.format_chats(df.where("false")).count() == 0
+
+
+# 6. License scan
+
+
+def brute_dice(text, templates, threshold):
+    def grams(t):
+        w = license_scan.words(t)
+        return set(zip(w, w[1:]))
+
+    units = [text, *license_scan._BLANK.split(text), *text.split("\n")]
+    out = {}
+    for name, body in templates:
+        b = grams(body)
+        for u in units:
+            a = grams(u)
+            if a and (s := 2 * len(a & b) / (len(a) + len(b))) >= threshold:
+                out[name] = max(s, out.get(name, 0))
+    return out
+
+
+def test_license_scan_is_dice(spark, odd, empty):
+    rng = random.Random(9)
+    texts = []
+    for name, body in license_scan.TEMPLATES:
+        words = body.split()
+        for drop in (0, 1, 5):
+            kept = [w for i, w in enumerate(words) if i % 17 != drop or not drop]
+            texts.append(prose(rng, 50) + "\n\n" + " ".join(kept) + "\n" * rng.randrange(3) + prose(rng, 20))
+    got = defaultdict(dict)
+    for r in license_scan.scan_licenses(spark.createDataFrame(rows_of(texts), DOCS)).collect():
+        got[r.doc_id][r.license] = r.score
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute_dice(t, license_scan.TEMPLATES, license_scan.THRESHOLD))
+    assert license_scan.scan_licenses(odd).count() == 0 and license_scan.scan_licenses(empty).count() == 0
+
+
+# 7. Language ID
+
+
+def test_language_id_held_out(spark):
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 40, lang), lang if i < 200 else None, "s", 0, "", 0, "") for i in range(300) for lang in [("en", "de")[i % 2]]]
+    rows.append((999, "zzxq qqzx " * 40, None, "s", 0, "", 0, ""))
+    out = {r.doc_id: r for r in language_id.identify_languages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(out[i].language == ("en", "de")[i % 2] and out[i].accepted for i in range(200, 300))
+    assert not out[999].accepted
+
+
+def test_language_id_odd_rows(odd, empty):
+    out = [(r.doc_id, r.language, r.accepted) for r in language_id.identify_languages(odd).collect()]
+    assert len(out) == odd.count() and (1, None, False) in out and (2, None, False) in out and (3, None, False) in out
+    assert language_id.keep_identified(odd).columns == odd.columns
+    assert language_id.identify_languages(empty).count() == 0
+    assert language_id.keep_identified(odd.withColumn("lang", odd["lang"].substr(0, 0)).where("lang is null")).count() == 0
+
+
+# 8. URL filter
+
+URLS = [None, "", "http://a.example.org/x", "https://user@B.Example.org.:80/p/q?x=1#y", "//example.org", "notexample.org/z", "http://exa mple.org/", "example.org//p///q", "http://10.0.0.1/"]
+
+
+def test_url_filter(spark):
+    allow, block = ["example.org/p", "b.example.org", "", None, "http://"], ["Example.org", "b.example.org", "10.0.0.1/"]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS + URLS[2:3])], "page_id long, url string, entry string, _rule string")
+    want = {0: ("invalid", None), 1: ("invalid", None), 2: ("block", "example.org"), 3: ("block", "b.example.org"), 4: ("block", "example.org"), 5: ("none", None), 6: ("invalid", None), 7: ("allow", "example.org/p"), 8: ("block", "10.0.0.1"), 9: ("block", "example.org")}
+    for limit in (url_filter.TRIE_BYTES, 0):
+        got = {r.page_id: (r.decision, r.entry) for r in url_filter.filter_urls(pages, allow, block, limit).collect()}
+        assert got == want
+    assert url_filter.filter_urls(pages.where("false"), [], []).count() == 0
+
+
+# 9. Packing
+
+
+def brute_best_fit(lengths, capacity):
+    room, where = [], []
+    for n in lengths:
+        fits = [(r, -i) for i, r in enumerate(room) if r >= n]
+        if fits:
+            i = -min(fits)[1]
+        else:
+            i = len(room)
+            room.append(capacity)
+        where.append(capacity - room[i])
+        room[i] -= n
+    return len(room), sorted(room)
+
+
+def test_best_fit_equals_brute_force():
+    rng = np.random.default_rng(11)
+    for capacity in (1, 7, 64, 100):
+        lengths = np.sort(rng.integers(1, capacity + 1, 400))[::-1]
+        where, offset = packing.best_fit(lengths, capacity)
+        used = np.bincount(where, weights=lengths)
+        assert (int(where.max()) + 1, sorted(capacity - used)) == brute_best_fit(lengths.tolist(), capacity)
+        assert used.max() <= capacity
+
+
+def test_pack_places_each_word_once(odd, empty):
+    rows = packing.pack(odd, 50, 20).collect()
+    want = Counter()
+    for r in odd.collect():
+        want[r.doc_id] += len("".join(c if c > " " else " " for c in r.text or "").split())
+    got = Counter()
+    bins = defaultdict(list)
+    for r in rows:
+        got[r.doc_id] += r.n_words
+        bins[r.bin_id].append((r.position, r.bin_offset, r.n_words))
+    assert got == +want
+    for placed in bins.values():
+        placed.sort()
+        assert [p for p, _, _ in placed] == list(range(len(placed))) and placed[-1][1] + placed[-1][2] <= 50
+        assert all(b[1] == a[1] + a[2] for a, b in zip(placed, placed[1:]))
+    assert packing.pack(empty).count() == 0
