@@ -57,15 +57,19 @@ def round_to(x: Column, digits: int) -> Column:
     they go to the even neighbour.
     """
     scale = float(10**digits)
-    p = x * F.lit(scale)
-    c = x * F.lit(134217729.0)
-    hi = c - (c - x)
-    error = (hi * F.lit(scale) - p) + (x - hi) * F.lit(scale)
-    low = F.floor(p).cast("double")
-    over = ((p - low) - F.lit(0.5)) + error
-    up = low + F.lit(1.0)
-    whole = F.when(over > 0, up).when(over < 0, low).when(low % 2 == 0, low).otherwise(up)
-    return whole / F.lit(scale)
+
+    def rounded(x: Column) -> Column:
+        p = x * F.lit(scale)
+        c = x * F.lit(134217729.0)
+        hi = c - (c - x)
+        error = (hi * F.lit(scale) - p) + (x - hi) * F.lit(scale)
+        low = F.floor(p).cast("double")
+        over = ((p - low) - F.lit(0.5)) + error
+        up = low + F.lit(1.0)
+        whole = F.when(over > 0, up).when(over < 0, low).when(low % 2 == 0, low).otherwise(up)
+        return whole / F.lit(scale)
+
+    return let(x, rounded)
 
 
 def round3(x: Column) -> Column:

@@ -36,12 +36,11 @@ def content_hash(spark, d):
     return _documents(spark, d).select("doc_id", identity.content_sha256(F.col("text")).alias("content_sha256"))
 
 
-@query
-def ends_clean_flag(spark, d):
+def _ends_clean(spark, d):
     return _documents(spark, d).select("doc_id", ends_clean(F.col("text")).alias("clean"))
 
 
-QUERIES["ends_clean"] = QUERIES.pop("ends_clean_flag")
+QUERIES["ends_clean"] = _ends_clean
 
 
 @query
@@ -237,7 +236,7 @@ def _issues_keyed(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def masthead_fields(spark, d):
-    return _issues_keyed(spark, d).select("doc_id", "volume", "issue_no", F.col("publication_date").cast("string").alias("publication_date"), "supplement_no", "parse_confidence", "gazette_issue_id")
+    return _issues_keyed(spark, d).select("doc_id", "volume", *[F.col(c).cast("string").alias(c) for c in ("issue_no", "publication_date", "supplement_no")], "parse_confidence", "gazette_issue_id")
 
 
 @query
@@ -275,7 +274,7 @@ def composite(spark, d):
 
 @query
 def reasons(spark, d):
-    return report.report_rows(_scored(spark, d).withColumnRenamed("notice_no", "no").withColumn("notice_no", F.col("no")))
+    return report.report_rows(_scored(spark, d))
 
 
 @query

@@ -175,7 +175,7 @@ opening AS (
   SELECT doc_id, start, {_strip("first(line ORDER BY line_no)")} AS line FROM body WHERE NOT running AND kind <> 'none' AND regexp_matches(line, '\S') GROUP BY ALL
 ),
 wide AS (
-  SELECT doc_id, start, line_no, line, NOT regexp_matches({_strip("line")}, '^[A-Z][a-z]') AND len(list_filter(string_split_regex({_strip("line")}, ' {{2,}}'), lambda v: v <> '')) >= 2 AS opens
+  SELECT doc_id, start, kind, NOT regexp_matches({_strip("line")}, '^[A-Z][a-z]') AND len(list_filter(string_split_regex({_strip("line")}, ' {{2,}}'), lambda v: v <> '')) >= 2 AS opens
   FROM body WHERE NOT running
 )"""
 
@@ -332,7 +332,7 @@ FROM quality GROUP BY ROLLUP (lang, band)"""),
   FROM (SELECT DISTINCT doc_id, page_no FROM boxes) AS p LEFT JOIN ordered AS o USING (doc_id, page_no) GROUP BY ALL) GROUP BY doc_id"""),
     "band_cluster": _with(_BANDS, "SELECT doc_id, page_no, elem_idx, band FROM walk", True),
     "band_confidence": _with(_BANDS, f"SELECT doc_id, page_no, band, mode, {_round('confidence')} AS confidence, n_elements FROM banded", True),
-    "page_layout": _with(_BANDS, f"""SELECT b.doc_id, b.page_no, {_round("sum(confidence * n_elements) / sum(n_elements)")} AS layout_confidence,
+    "page_layout": _with(_BANDS, f"""SELECT b.doc_id, b.page_no, {_round("sum(confidence * n_elements ORDER BY band) / sum(n_elements)")} AS layout_confidence,
   CASE WHEN count(DISTINCT mode) > 1 THEN 'hybrid (' || any_value(top) || ' dominant)' ELSE any_value(top) END AS mode, CAST(count(*) AS INTEGER) AS n_bands
 FROM banded AS b JOIN (SELECT doc_id, page_no, first(mode ORDER BY c DESC, f) AS top FROM (SELECT doc_id, page_no, mode, count(*) AS c, min(band) AS f FROM banded GROUP BY ALL) GROUP BY ALL) USING (doc_id, page_no)
 GROUP BY b.doc_id, b.page_no""", True),
@@ -348,7 +348,7 @@ FROM pieces AS p LEFT JOIN body AS b ON b.doc_id = p.doc_id AND b.start = p.line
   SELECT f.doc_id, f.start, f.a, coalesce(min(b.line_no) FILTER (b.line_no > f.a AND NOT regexp_matches(b.line, '\S') OR b.line_no >= f.a AND regexp_matches(trim(b.line), '{BODY_START.replace("(?Ui)", "(?i)")}')), 1000000000) AS z
   FROM (SELECT doc_id, start, min(line_no) AS a FROM body WHERE NOT running AND regexp_matches(line, '\S') GROUP BY ALL) AS f JOIN body AS b ON b.doc_id = f.doc_id AND b.start = f.start AND NOT b.running GROUP BY ALL
 ) AS x ON x.doc_id = p.doc_id AND x.start = p.line_start GROUP BY p.doc_id, p.notice_idx"""),
-    "masthead_fields": _with(_MASTHEAD, "SELECT doc_id, volume, issue_no, CAST(publication_date AS VARCHAR) AS publication_date, supplement_no, parse_confidence, gazette_issue_id FROM masthead"),
+    "masthead_fields": _with(_MASTHEAD, "SELECT doc_id, volume, CAST(issue_no AS VARCHAR) AS issue_no, CAST(publication_date AS VARCHAR) AS publication_date, CAST(supplement_no AS VARCHAR) AS supplement_no, parse_confidence, gazette_issue_id FROM masthead"),
     "notice_ids": _with(f"{_MASTHEAD}, {NOTICES[len(LINES) + 1 :]}", "SELECT n.doc_id, notice_idx::INTEGER AS notice_idx, gazette_issue_id || ':' || coalesce(no, '_orphan_' || line_start) AS notice_id FROM notices AS n JOIN masthead USING (doc_id)"),
     "corrigenda_refs": _with(f"{LINES},{_CORRECTIONS}", "SELECT doc_id, referenced_notice_no, referenced_year, error_text, correction_text, raw_text FROM corrections"),
     "notice_number_score": f"SELECT no, {NUMBER} AS score FROM (SELECT CASE o_orderkey % 7 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN o_orderkey || '/2010' WHEN 2 THEN o_orderkey || 'A' WHEN 3 THEN '1234567' || o_orderkey WHEN 4 THEN CAST(o_orderkey % 10 AS VARCHAR) WHEN 5 THEN o_orderstatus ELSE NULL END AS no FROM orders)",
@@ -360,6 +360,7 @@ FROM rollup_rows WHERE doc_id % 3 <> 0"""),
     "warnings_by_kind": _with(
         f"{_MASTHEAD}, {NOTICES[len(LINES) + 1 :]},{TITLED},{_CORRECTIONS}",
         """SELECT 'masthead.parse_failed' AS kind, count(*) AS n FROM masthead WHERE gazette_issue_id LIKE 'KE-GAZ-UNKNOWN-%' HAVING count(*) > 0
-UNION ALL SELECT 'corrigendum_scope_defaulted', count(*) FROM corrections HAVING count(*) > 0""",
+UNION ALL SELECT 'corrigendum_scope_defaulted', count(*) FROM corrections HAVING count(*) > 0
+UNION ALL SELECT 'table_coerced_to_text', count(*) FROM (SELECT DISTINCT doc_id, start FROM wide WHERE opens AND kind <> 'none') HAVING count(*) > 0""",
     ),
 }
