@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 K = 10
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 8_192
 STEP = 8
-FIRST = 2  # steps that are made for a batch of queries at once
+SEEDS = 512  # rows of a block that give a query without a bound its first one
+SPARSE = 0.25  # share of survivors under which they are compacted
 _BATCH = 64
 _SLACK = 1e-4  # more than single precision can be off, relative to the lengths
 _BLOCK_DDL = "dim int, block int, ids binary, columns binary, bounds binary"
@@ -65,31 +66,36 @@ class Block:
         self.edges = [*range(0, dim, STEP), dim]
         power = np.cumsum(np.r_[np.zeros((1, len(ids))), (x.T**2)[::-1]], axis=0)[::-1]
         self.rest = np.sqrt(power[self.edges]).astype(np.float32)
-        self.head = self.edges[min(FIRST, len(self.edges) - 1)]
-        self.head_power = (power[0] - power[self.head]).astype(np.float32)
+        self.power = -np.diff(power[self.edges], axis=0).astype(np.float32)
 
 
 def search(queries: Block, block: Block, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, block row, squared distance) of up to k neighbours a query, none beyond its bound."""
     out_q, out_x, out_d = [], [], []
     n, edges = len(block.ids), block.edges
-    dense = min(FIRST, len(edges) - 1)
     slack = _SLACK * float((queries.rest[0] ** 2).max(initial=0) + (block.rest[0] ** 2).max(initial=0))
     rows = np.arange(n)
     for a in range(0, len(queries.ids), _BATCH):
         part = slice(a, min(a + _BATCH, len(queries.ids)))
-        head = queries.head_power[part][:, None] + block.head_power[None, :] - 2 * queries.columns[: block.head, part].T @ block.columns[: block.head]
-        np.maximum(head, 0, out=head)
-        gap = queries.rest[dense, part][:, None] - block.rest[dense][None, :]
-        least = head + gap * gap
+        limit = bounds[part].copy()
+        if n > k + 1 and not np.isfinite(limit).all():
+            some = slice(0, max(SEEDS, k + 1))
+            near = queries.rest[0, part][:, None] ** 2 + block.rest[0, some][None, :] ** 2 - 2 * queries.columns[:, part].T @ block.columns[:, some]
+            seed = np.partition(near, k, axis=1)[:, k] + slack if near.shape[1] > k else limit  # the query itself may be among them
+            limit = np.minimum(limit, seed)
+        fence = (limit + slack).astype(np.float32)[:, None]
+        sums = np.zeros((part.stop - part.start, n), np.float32)
+        for dense in range(1, len(edges)):  # the first dimensions leave most candidates: all of a batch's are accumulated at once
+            cols = slice(edges[dense - 1], edges[dense])
+            sums += queries.power[dense - 1, part][:, None] + block.power[dense - 1][None, :] - 2 * queries.columns[cols, part].T @ block.columns[cols]
+            gap = queries.rest[dense, part][:, None] - block.rest[dense][None, :]
+            alive = sums + gap * gap <= fence
+            if np.count_nonzero(alive) < SPARSE * alive.size:
+                break
         for i in range(part.stop - part.start):
-            q = a + i
-            bound = bounds[q]
-            if not np.isfinite(bound) and n > k + 1:
-                most = head[i] + (queries.rest[dense, q] + block.rest[dense]) ** 2
-                bound = float(np.partition(most, k)[k])  # the query itself may be among them
-            live = rows[least[i] <= bound + slack]
-            total = head[i][live]
+            q, bound = a + i, float(limit[i])
+            live = rows[alive[i]]
+            total = np.maximum(sums[i][live], 0)
             for j in range(dense, len(edges) - 1):
                 if not len(live):
                     break

@@ -134,7 +134,7 @@ def test_near_groups_are_components_of_close_pairs(spark):
 def test_near_dedup_odd_rows(odd, empty):
     kept = near_dedup.deduplicate(odd)
     assert kept.columns == odd.columns
-    assert ids(kept) == [None, None, 1, 2, 3, 4, 5, 5, 5, 7, 8] or 6 not in ids(kept)
+    assert 6 not in ids(kept) and {None, 1, 2, 3, 7, 8} <= set(ids(kept))
     assert near_dedup.deduplicate(empty).count() == 0
 
 
