@@ -1,15 +1,21 @@
-"""Approximate nearest neighbours by an inverted multi-index.
+"""Nearest neighbours by an inverted multi-index.
 
 Each half of a vector is quantised by a codebook of its own; the pairs of
-centroids are the cells of the index (Babenko and Lempitsky, 2012). A query
-takes pairs in the order of their summed distances, by a heap over the sorted
-distances of both halves, until the cells hold ``share`` of the entries, and at
-least ``least``. Those entries are ranked again by their distance.
+centroids are the cells of the index (Babenko and Lempitsky, 2012). By the
+triangle inequality a half is at least as far from the entries of its centroid
+as from the centroid, less the radius around it; the squares for both halves add
+up to a lower bound for a cell. A heap over the sorted bounds of both halves
+gives pairs in the order of the summed bounds. A query goes on through them
+until the k-th best distance so far is under the bound of the next, so it loses
+no neighbour whatever the size and shape of the table; where vectors are spread
+evenly in many dimensions bounds exclude little, and work nears that of all
+pairs. The first ``least`` entries of its own group give a query its first k-th
+distance; they change the work and not the result.
 
 Codebooks are fitted on at most about ``sample`` vectors, drawn by a hash of
-vec_id. Only cell counts, of which there are centroids squared, go to the
-driver. Queries are grouped by neighbouring cells; an entry is sent once to each
-group that takes its cell, in slices of bounded size.
+vec_id. Only cell counts and radii, of which there are centroids squared, go to
+the driver. Queries are grouped by neighbouring cells; an entry is sent once to
+each group that takes its cell, in slices of bounded size.
 
 Defined results: those of ``topk`` for invalid, repeated and few rows; vectors
 with a length other than the most common one, and among those the greatest, are
@@ -31,10 +37,11 @@ from .topk import K, best_k, matrix, vectors
 
 CENTROIDS = 32
 SAMPLE = 20_000
-SHARE = 0.1
 LEAST = 1_000
 GROUP_ROWS = 4096
 SLICE_ROWS = 65_536
+BLOCK_ROWS = 1024  # entries that a group's queries are held against at once
+_SLACK = 1e-9  # more than double precision can be off, relative to the squared lengths
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -57,8 +64,8 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0)
 
 
-def visits(first: np.ndarray, second: np.ndarray, counts: np.ndarray, want: int) -> list[int]:
-    """Cells of one query in the order of summed distance, until they hold want entries.
+def visits(first: np.ndarray, second: np.ndarray, counts: np.ndarray, want: float = np.inf, bound: float = np.inf) -> list[int]:
+    """Cells in the order of the sum of both halves' values, until they hold want entries or the sum is over bound.
 
     The multi-sequence algorithm: a pair enters the heap when both pairs before
     it in the two sorted lists are taken.
@@ -68,7 +75,7 @@ def visits(first: np.ndarray, second: np.ndarray, counts: np.ndarray, want: int)
     by_a, by_b = by_a.tolist(), by_b.tolist()
     wide, done, out, have = len(b), [0] * len(a), [], 0
     heap = [(a[0] + b[0], 0, 0)]
-    while heap and have < want:
+    while heap and have < want and heap[0][0] <= bound:
         _, i, j = heappop(heap)
         done[i] = j + 1
         cell = by_a[i] * wide + by_b[j]
@@ -82,76 +89,136 @@ def visits(first: np.ndarray, second: np.ndarray, counts: np.ndarray, want: int)
     return out
 
 
-def _cells(books: tuple[np.ndarray, np.ndarray], half: int):
+def _halves(v: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of both halves to their centroids."""
+    half = books[0].shape[1]
+    return distances(v[:, :half], books[0]), distances(v[:, half:], books[1])
+
+
+def _low(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], radii: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """What each half adds at least to the distance to an entry of each of its centroids."""
+    return [np.maximum(np.sqrt(d) - r, 0) ** 2 for d, r in zip(_halves(v, books), radii)]
+
+
+def _slack(q: np.ndarray, x: np.ndarray) -> float:
+    return _SLACK * float((q * q).sum(1).max(initial=0) + (x * x).sum(1).max(initial=0))
+
+
+def _cells(books: tuple[np.ndarray, np.ndarray]):
+    half = books[0].shape[1]
+    dim = half + books[1].shape[1]
+
     def run(x: pa.Array) -> pa.Array:
-        v = matrix(x, half + books[1].shape[1]) if len(x) else np.zeros((0, half + books[1].shape[1]))
-        a, b = distances(v[:, :half], books[0]).argmin(1), distances(v[:, half:], books[1]).argmin(1)
-        return pa.array((a * len(books[1]) + b).astype(np.int32))
+        v = matrix(x, dim) if len(x) else np.zeros((0, dim))
+        a, b = (d.argmin(1) for d in _halves(v, books))
+        cell = (a * len(books[1]) + b).astype(np.int32)
+        ra, rb = (np.sqrt(((y - c) ** 2).sum(1)) for y, c in ((v[:, :half], books[0][a]), (v[:, half:], books[1][b])))
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(ra), pa.array(rb)], names=["cell", "ra", "rb"])
 
     return run
 
 
-def _plan(books, half: int, counts: list[int], want: int):
-    """For one group of queries: the packed queries, and which of them take each cell."""
+def _plan(books, radii, counts: list[int], k: int, least: int):
+    """For one group of queries: the packed queries, a first bound of their k-th distances, and the cells to search in order."""
+    dim = books[0].shape[1] + books[1].shape[1]
 
     def run(group: pa.Table) -> pa.Table:
-        ids, v = group.column("vec_id").to_numpy(), matrix(group.column("embedding"), half + books[1].shape[1])
-        a, b = distances(v[:, :half], books[0]), distances(v[:, half:], books[1])
-        takers: dict[int, list[int]] = {}
-        for i in range(len(ids)):
-            for cell in visits(a[i], b[i], counts, want):
-                takers.setdefault(cell, []).append(i)
-        cells = sorted(takers)
+        ids, v = group.column("vec_id").to_numpy(), matrix(group.column("embedding"), dim)
+        order = np.lexsort((ids, group.column("cell").to_numpy()))
+        ids, v = ids[order], v[order]
+        slack, bounds, step = _slack(v, v), np.full(len(ids), np.inf), max(least, k + 1)
+        for at in range(0, len(ids), step):
+            own = slice(max(0, min(at, len(ids) - step)), at + step)
+            d = distances(v[at : at + step], v[own])
+            if d.shape[1] > k:  # the query itself is among them
+                bounds[at : at + step] = np.partition(d, k, axis=1)[:, k] + slack
+        a, b = _low(v, books, radii)
+        taken = np.zeros(len(counts), bool)
+        for at in range(0, len(ids), BLOCK_ROWS):
+            rows = slice(at, at + BLOCK_ROWS)
+            taken |= (a[rows, :, None] + b[rows, None, :] <= bounds[rows, None, None] + slack).any(0).ravel()
+        cells = [c for c in visits(a.min(0), b.min(0), counts, bound=bounds.max() + slack) if taken[c]]
         return pa.table(
             {
                 "grp": pa.array([group.column("grp")[0].as_py()], pa.int32()),
                 "ids": pa.array([ids.tobytes()], pa.binary()),
                 "vs": pa.array([v.tobytes()], pa.binary()),
+                "bounds": pa.array([bounds.tobytes()], pa.binary()),
                 "cells": pa.array([cells], pa.list_(pa.int32())),
-                "takers": pa.array([[np.array(takers[c], "<i4").tobytes() for c in cells]], pa.list_(pa.binary())),
             }
         )
 
     return run
 
 
-def _rerank(dim: int, k: int):
+class Best:
+    """The k nearest so far of each query, and the distance that an entry must not exceed."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, k: int):
+        self.ids, self.q, self.k, self.bounds = ids, q, k, bounds.copy()
+        self.row, self.x, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, slack: float) -> None:
+        """Hold some of the queries against some entries."""
+        d = distances(self.q[rows], x)
+        limit = self.bounds[rows]
+        free = ~np.isfinite(limit)
+        if free.any() and len(ids) > self.k:  # the query itself may be among them
+            limit[free] = np.partition(d[free], self.k, axis=1)[:, self.k] + slack
+        r, c = np.nonzero(d <= limit[:, None] + slack)
+        other = self.ids[rows[r]] != ids[c]
+        r, c = rows[r[other]], c[other]
+        if not len(r):
+            return
+        exact = [np.zeros(0)]
+        for at in range(0, len(r), SLICE_ROWS):
+            diff = x[c[at : at + SLICE_ROWS]] - self.q[r[at : at + SLICE_ROWS]]
+            exact.append((diff * diff).sum(1))
+        row, found, d = np.r_[self.row, r], np.r_[self.x, ids[c]], np.r_[self.d, *exact]
+        order = np.lexsort((found, d, row))
+        row, found, d = row[order], found[order], d[order]
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        place = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+        last = place == self.k - 1
+        self.bounds[row[last]] = np.minimum(self.bounds[row[last]], d[last])
+        keep = place < self.k
+        self.row, self.x, self.d = row[keep], found[keep], d[keep]
+
+
+def _rerank(books, radii, k: int):
+    dim, wide = books[0].shape[1] + books[1].shape[1], len(books[1])
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_q, out_x, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        out_q, out_x, out_d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if left.num_rows and right.num_rows:
             row = left.slice(0, 1).to_pylist()[0]
             q_ids, q = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vs"], "<f8").reshape(-1, dim)
-            takers = dict(zip(row["cells"], row["takers"]))
+            best = Best(q_ids, q, np.frombuffer(row["bounds"], "<f8"), k)
+            low_a, low_b = _low(q, books, radii)
+            place = np.zeros(len(books[0]) * wide, np.int64)
+            place[row["cells"]] = np.arange(len(row["cells"]))
             cell, ids = right.column("cell").to_numpy(), right.column("vec_id").to_numpy()
-            order = np.lexsort((ids, cell))
+            order = np.lexsort((ids, place[cell]))
             cell, ids, x = cell[order], ids[order], matrix(right.column("embedding"), dim)[order]
-            cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-            best_d = np.full((len(q_ids), k), np.inf)
-            best_x = np.full((len(q_ids), k), np.iinfo(np.int64).max)
-            for a, b in zip(cuts, cuts[1:]):
-                rows = np.frombuffer(takers[int(cell[a])], "<i4")
-                d = distances(q[rows], x[a:b])
-                d[q_ids[rows][:, None] == ids[a:b][None, :]] = np.inf
-                near = min(k, b - a)
-                pick = np.argpartition(d, near - 1, axis=1)[:, :near]
-                diff = x[a:b][pick] - q[rows][:, None, :]
-                exact = (diff * diff).sum(2)
-                exact[~np.isfinite(np.take_along_axis(d, pick, 1))] = np.inf
-                both_d = np.concatenate([best_d[rows], exact], axis=1)
-                both_x = np.concatenate([best_x[rows], ids[a:b][pick]], axis=1)
-                top = np.lexsort((both_x, both_d), axis=1)[:, :k]
-                best_d[rows], best_x[rows] = np.take_along_axis(both_d, top, 1), np.take_along_axis(both_x, top, 1)
-            r, c = np.nonzero(np.isfinite(best_d))
-            out_q, out_x, out_d = [q_ids[r]], [best_x[r, c]], [best_d[r, c]]
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_x), "distance": np.concatenate(out_d)})
+            slack = _slack(q, x)
+            for at in range(0, len(ids), BLOCK_ROWS):
+                part = slice(at, at + BLOCK_ROWS)
+                least = np.full(len(q), np.inf)
+                for c in np.unique(cell[part]).tolist():
+                    np.minimum(least, low_a[:, c // wide] + low_b[:, c % wide], out=least)
+                rows = np.flatnonzero(least <= best.bounds + slack)
+                if len(rows):
+                    best.add(rows, ids[part], x[part], slack)
+            out_q, out_x, out_d = q_ids[best.row], best.x, best.d
+        return pa.table({"query_id": out_q, "vec_id": out_x, "distance": out_d})
 
     return run
 
 
 def approximate_top_k(
-    embeddings: DataFrame, k: int = K, centroids: int = CENTROIDS, sample: int = SAMPLE, share: float = SHARE, least: int = LEAST
+    embeddings: DataFrame, k: int = K, centroids: int = CENTROIDS, sample: int = SAMPLE, least: int = LEAST
 ) -> DataFrame:
-    """(query_id, rank, vec_id, distance): about the k nearest others of each vector, by squared Euclidean distance."""
+    """(query_id, rank, vec_id, distance): the k nearest others of each vector, by squared Euclidean distance."""
     own = vectors(embeddings).withColumn("dim", F.size("embedding"))
     found = "query_id long, vec_id long, distance double"
     lengths = own.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
@@ -166,12 +233,15 @@ def approximate_top_k(
     if not len(x):
         x = np.array([own.orderBy("vec_id").first()["embedding"]], float)
     books = k_means(x[:, :half], centroids), k_means(x[:, half:], centroids)
-    entries = materialize(own.withColumn("cell", F.arrow_udf(_cells(books, half), "int")("embedding")))
+    placed = F.arrow_udf(_cells(books), "cell int, ra double, rb double")("embedding")
+    entries = materialize(own.withColumn("at", placed).select("vec_id", "embedding", "at.cell", "at.ra", "at.rb"))
     counts = [0] * (len(books[0]) * len(books[1]))
-    for r in entries.groupBy("cell").count().collect():
-        counts[r["cell"]] = r["count"]
+    radii = np.zeros(len(books[0])), np.zeros(len(books[1]))
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n"), F.max("ra").alias("ra"), F.max("rb").alias("rb")).collect():
+        counts[r["cell"]] = r["n"]
+        i, j = divmod(r["cell"], len(books[1]))
+        radii[0][i], radii[1][j] = max(radii[0][i], r["ra"]), max(radii[1][j], r["rb"])
 
-    want = max(least, int(np.ceil(share * n)), k + 1)
     groups, at, size = [], 0, 0
     for count in counts:  # neighbouring cells together; a large one is cut by vec_id
         if size and size + count > GROUP_ROWS:
@@ -184,12 +254,12 @@ def approximate_top_k(
     here = F.col("cell") + 1
     grp = F.element_at(first, here) + F.pmod(F.xxhash64("vec_id"), F.element_at(parts, here)).cast("int")
     plan = materialize(
-        entries.withColumn("grp", grp).groupBy("grp").applyInArrow(_plan(books, half, counts, want), "grp int, ids binary, vs binary, cells array<int>, takers array<binary>")
+        entries.withColumn("grp", grp).groupBy("grp").applyInArrow(_plan(books, radii, counts, k, least), "grp int, ids binary, vs binary, bounds binary, cells array<int>")
     )
     slices = max(1, -(-n // SLICE_ROWS))
     cut = F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("cut")
     taken = plan.select(F.col("grp").alias("to"), F.explode("cells").alias("cell"))
     sent = taken.join(entries.select("cell", "vec_id", "embedding", cut), "cell")
     wide = plan.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    near = wide.groupBy("grp", "cut").cogroup(sent.groupBy("to", "cut")).applyInArrow(_rerank(dim, k), found)
+    near = wide.groupBy("grp", "cut").cogroup(sent.groupBy("to", "cut")).applyInArrow(_rerank(books, radii, k), found)
     return best_k(near, k)
