@@ -8,6 +8,12 @@ b bigrams can reach a threshold t only for units of b * t / (2 - t) to
 b * (2 - t) / t bigrams: others are never compared. Bigrams that no template
 has are looked up, and counted, but lead nowhere.
 
+With ``embedded``, windows that slide over all words of the document are
+compared as well, so a license counts whatever shares its line or paragraph, and
+however its paragraphs are set. They have the size of the template, or up to
+(2 - t) / t times it in steps of an eighth. A template is slid only over
+documents that have b * t / (2 - t) of its bigrams, the least that reach t.
+
 Defined results: null and empty texts, and units under two words, match nothing.
 Rows are scanned one by one, so repeated ones repeat. Of several units, or
 templates, of one license the best score counts. Equal scores of two licenses
@@ -19,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import pairwise
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,6 +116,7 @@ class Matcher:
         self.names = [name for name, _ in templates]
         sets = [set(pairwise(words(text))) for _, text in templates]
         self.sizes = [len(s) for s in sets]
+        self.lengths = [max(0, len(words(text)) - 1) for _, text in templates]
         self.index: dict[tuple[str, str], list[int]] = {}
         for i, s in enumerate(sets):
             for bigram in s:
@@ -134,7 +142,42 @@ class Matcher:
             if score >= self.threshold and score > best.get(self.names[i], 0):
                 best[self.names[i]] = score
 
-    def document(self, text: str) -> dict[str, float]:
+    def slide(self, unit: list[str], best: dict[str, float]) -> None:
+        """Raise best with the scores of windows of a unit."""
+        bigrams = list(pairwise(unit))
+        found: dict[int, int] = {}
+        for hits in filter(None, map(self.index.get, set(bigrams))):
+            for i in hits:
+                found[i] = found.get(i, 0) + 1
+        for i, common in found.items():
+            if common < self.sizes[i] * self.threshold / (2 - self.threshold) - 1e-9:
+                continue
+            own = [i in self.index.get(g, ()) for g in bigrams]
+            most = int(self.lengths[i] * (2 - self.threshold) / self.threshold + 1e-9)
+            for width in {min(most, ceil(self.lengths[i] * eighths / 8)) for eighths in range(8, max(9, ceil(8 * most / self.lengths[i]) + 1))}:
+                score = self._best_window(bigrams, own, width, self.sizes[i])
+                if score >= self.threshold and score > best.get(self.names[i], 0):
+                    best[self.names[i]] = score
+
+    @staticmethod
+    def _best_window(bigrams: list[tuple[str, str]], own: list[bool], width: int, size: int) -> float:
+        """The best Dice of so many bigrams in a row; own: those of the template, which has size distinct ones."""
+        inside: dict[tuple[str, str], int] = {}
+        shared, top = 0, 0.0
+        for p, g in enumerate(bigrams):
+            inside[g] = inside.get(g, 0) + 1
+            shared += own[p] and inside[g] == 1
+            if p >= width:
+                old = bigrams[p - width]
+                inside[old] -= 1
+                if not inside[old]:
+                    del inside[old]
+                    shared -= own[p - width]
+            if p >= width - 1:
+                top = max(top, 2 * shared / (len(inside) + size))
+        return top
+
+    def document(self, text: str, embedded: bool = False) -> dict[str, float]:
         best: dict[str, float] = {}
         whole = text.lower()
         paragraphs = _BLANK.split(whole)
@@ -149,10 +192,12 @@ class Matcher:
             all_words += joined
         if len(paragraphs) > 1:
             self.scan(all_words, best)
+        if embedded:
+            self.slide(all_words, best)
         return best
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, embedded: bool = False) -> DataFrame:
     """(doc_id, license, score) of each license that a document names or contains."""
     templates = TEMPLATES if templates is None else templates
 
@@ -161,7 +206,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         for batch in batches:
             ids, names, scores = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for name, score in matcher.document(text.as_py() or "").items():
+                for name, score in matcher.document(text.as_py() or "", embedded).items():
                     ids.append(doc_id)
                     names.append(name)
                     scores.append(score)
