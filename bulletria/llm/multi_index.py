@@ -12,9 +12,9 @@ evenly in many dimensions bounds exclude little, and work nears that of all
 pairs. The first ``least`` entries of its own group give a query its first k-th
 distance; they change the work and not the result.
 
-Codebooks are fitted on at most about ``sample`` vectors, drawn by a hash of
-vec_id. Only cell counts and radii, of which there are centroids squared, go to
-the driver. Queries are grouped by neighbouring cells; an entry is sent once to
+Codebooks are fitted by Lloyd's rounds over all vectors, from distinct halves in
+the order of a hash; each round is an aggregation by centroid. Only sums, cell
+counts and radii, of which there are centroids squared, go to the driver. Queries are grouped by neighbouring cells; an entry is sent once to
 each group that takes its cell, in slices of bounded size.
 
 Defined results: those of ``topk`` for invalid, repeated and few rows; vectors
@@ -25,6 +25,7 @@ smaller vec_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -36,7 +37,7 @@ from .common import materialize
 from .topk import K, best_k, matrix, vectors
 
 CENTROIDS = 32
-SAMPLE = 20_000
+ROUNDS = 12
 LEAST = 1_000
 GROUP_ROWS = 4096
 SLICE_ROWS = 65_536
@@ -44,21 +45,6 @@ BLOCK_ROWS = 1024  # entries that a group's queries are held against at once
 _SLACK = 1e-9  # more than double precision can be off, relative to the squared lengths
 
 
-def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
-    """Centroids by Lloyd's rounds from distinct rows; fewer if there are fewer."""
-    distinct = np.unique(x, axis=0)
-    if len(distinct) <= k:
-        return distinct
-    c = distinct[np.random.Generator(np.random.PCG64(seed)).choice(len(distinct), k, replace=False)]
-    for _ in range(rounds):
-        near = distances(x, c).argmin(1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
-        count = np.bincount(near, minlength=len(c))
-        c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
-    return c
-
-
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Squared distances of rows to centroids."""
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0)
@@ -104,6 +90,44 @@ def _slack(q: np.ndarray, x: np.ndarray) -> float:
     return _SLACK * float((q * q).sum(1).max(initial=0) + (x * x).sum(1).max(initial=0))
 
 
+def _sums(books: tuple[np.ndarray, np.ndarray]):
+    """Sums and numbers of the halves nearest to each centroid, one row a partition."""
+    half = books[0].shape[1]
+    dim = half + books[1].shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = [np.zeros_like(c) for c in books], [np.zeros(len(c)) for c in books]
+        for batch in batches:
+            v = matrix(batch.column(0), dim)
+            for h, (part, d) in enumerate(zip((v[:, :half], v[:, half:]), _halves(v, books))):
+                own = (d.argmin(1)[:, None] == np.arange(len(books[h]))).astype(float)
+                sums[h] += own.T @ part
+                counts[h] += own.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (*sums, *counts)], names=["sa", "sb", "na", "nb"])
+
+    return run
+
+
+def codebooks(own: DataFrame, dim: int, centroids: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of both halves by Lloyd's rounds over all vectors; fewer if there are fewer distinct halves."""
+    half, books = dim // 2, []
+    for start, size in ((1, half), (half + 1, dim - half)):
+        part = own.select(F.slice("embedding", start, size).alias("part")).distinct()
+        first = part.orderBy(F.xxhash64(F.lit("ann"), "part"), "part").limit(centroids).collect()
+        books.append(np.array([r["part"] for r in first], float).reshape(len(first), size))
+    for _ in range(rounds):
+        rows = own.select("embedding").mapInArrow(_sums(tuple(books)), "sa binary, sb binary, na binary, nb binary").collect()
+        new = []
+        for c, s, n in zip(books, ("sa", "sb"), ("na", "nb")):
+            sums = sum(np.frombuffer(r[s]).reshape(c.shape) for r in rows)
+            count = sum(np.frombuffer(r[n]) for r in rows)
+            new.append(np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c))
+        if all(np.array_equal(c, x) for c, x in zip(books, new)):
+            break
+        books = new
+    return books[0], books[1]
+
+
 def _cells(books: tuple[np.ndarray, np.ndarray]):
     half = books[0].shape[1]
     dim = half + books[1].shape[1]
@@ -216,23 +240,17 @@ def _rerank(books, radii, k: int):
 
 
 def approximate_top_k(
-    embeddings: DataFrame, k: int = K, centroids: int = CENTROIDS, sample: int = SAMPLE, least: int = LEAST
+    embeddings: DataFrame, k: int = K, centroids: int = CENTROIDS, least: int = LEAST
 ) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k nearest others of each vector, by squared Euclidean distance."""
-    own = vectors(embeddings).withColumn("dim", F.size("embedding"))
+    own = materialize(vectors(embeddings).withColumn("dim", F.size("embedding")))
     found = "query_id long, vec_id long, distance double"
     lengths = own.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
     if lengths is None:
         return best_k(embeddings.sparkSession.createDataFrame([], found), k)
     dim, n = lengths["dim"], lengths["count"]
-    half = dim // 2
     own = own.where(F.col("dim") == dim).drop("dim")
-    scale = 1 << 20
-    drawn = own.where(F.pmod(F.xxhash64(F.lit("ann"), "vec_id"), F.lit(scale)) <= int(scale * min(1.0, sample / n)))
-    x = np.array([r["embedding"] for r in drawn.orderBy("vec_id").select("embedding").collect()], float).reshape(-1, dim)
-    if not len(x):
-        x = np.array([own.orderBy("vec_id").first()["embedding"]], float)
-    books = k_means(x[:, :half], centroids), k_means(x[:, half:], centroids)
+    books = codebooks(own, dim, centroids)
     placed = F.arrow_udf(_cells(books), "cell int, ra double, rb double")("embedding")
     entries = materialize(own.withColumn("at", placed).select("vec_id", "embedding", "at.cell", "at.ra", "at.rb"))
     counts = [0] * (len(books[0]) * len(books[1]))

@@ -23,3 +23,14 @@ def test_bound_leaves_cells_out():
     books = np.array([[0.0], [10.0]]), np.array([[0.0], [10.0]])
     low = multi_index._low(np.array([[0.5, 0.5]]), books, (np.ones(2), np.ones(2)))
     assert multi_index.visits(low[0][0], low[1][0], [1] * 4, bound=1.0) == [0]
+
+
+def test_codebooks_are_means_of_all_vectors(spark):
+    x = np.random.default_rng(7).normal(size=(25_000, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before, after = (multi_index.codebooks(df, 5, 8, rounds=n) for n in (0, 1))
+    for half, c, got in zip((x[:, :2], x[:, 2:]), before, after):
+        near = multi_index.distances(half, c).argmin(1)
+        assert np.allclose(got, [half[near == i].mean(0) for i in range(8)])
+    few = multi_index.codebooks(df.where("vec_id < 5"), 5, 8)
+    assert [c.shape for c in few] == [(5, 2), (5, 3)]
