@@ -17,9 +17,9 @@ the order of a hash; each round is an aggregation by centroid. Only sums, cell
 counts and radii, of which there are centroids squared, go to the driver. Queries are grouped by neighbouring cells; an entry is sent once to
 each group that takes its cell, in slices of bounded size.
 
-Defined results: those of ``topk`` for invalid, repeated and few rows; vectors
-with a length other than the most common one, and among those the greatest, are
-left out. An odd dimension goes to the second half. Equal distances go to the
+Defined results: those of ``topk`` for invalid, repeated and few rows. Vectors
+are compared with those of their own length only: each length has an index of
+its own, or is one cell if it has no more vectors than centroids. An odd dimension goes to the second half. Equal distances go to the
 smaller vec_id.
 """
 
@@ -239,17 +239,34 @@ def _rerank(books, radii, k: int):
     return run
 
 
-def approximate_top_k(
-    embeddings: DataFrame, k: int = K, centroids: int = CENTROIDS, least: int = LEAST
-) -> DataFrame:
+_FOUND = "query_id long, vec_id long, distance double"
+
+
+def _one_cell(k: int):
+    """All vectors of one length against each other."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, v = group.column("vec_id").to_numpy(), matrix(group.column("embedding"), group.column("dim")[0].as_py())
+        best = Best(ids, v, np.full(len(ids), np.inf), k)
+        best.add(np.arange(len(ids)), ids, v, _slack(v, v))
+        return pa.table({"query_id": ids[best.row], "vec_id": best.x, "distance": best.d})
+
+    return run
+
+
+def approximate_top_k(embeddings: DataFrame, k: int = K, centroids: int = CENTROIDS, least: int = LEAST) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k nearest others of each vector, by squared Euclidean distance."""
     own = materialize(vectors(embeddings).withColumn("dim", F.size("embedding")))
-    found = "query_id long, vec_id long, distance double"
-    lengths = own.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if lengths is None:
-        return best_k(embeddings.sparkSession.createDataFrame([], found), k)
-    dim, n = lengths["dim"], lengths["count"]
-    own = own.where(F.col("dim") == dim).drop("dim")
+    lengths = {r["dim"]: r["count"] for r in own.groupBy("dim").count().collect()}
+    large = [dim for dim in sorted(lengths) if lengths[dim] > centroids]
+    near = own.where(~F.col("dim").isin(large)).groupBy("dim").applyInArrow(_one_cell(k), _FOUND)
+    for dim in large:
+        near = near.union(_near(own.where(F.col("dim") == dim).drop("dim"), dim, lengths[dim], k, centroids, least))
+    return best_k(near, k)
+
+
+def _near(own: DataFrame, dim: int, n: int, k: int, centroids: int, least: int) -> DataFrame:
+    """_FOUND of at least the k nearest of each vector; all n have one length."""
     books = codebooks(own, dim, centroids)
     placed = F.arrow_udf(_cells(books), "cell int, ra double, rb double")("embedding")
     entries = materialize(own.withColumn("at", placed).select("vec_id", "embedding", "at.cell", "at.ra", "at.rb"))
@@ -279,5 +296,4 @@ def approximate_top_k(
     taken = plan.select(F.col("grp").alias("to"), F.explode("cells").alias("cell"))
     sent = taken.join(entries.select("cell", "vec_id", "embedding", cut), "cell")
     wide = plan.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    near = wide.groupBy("grp", "cut").cogroup(sent.groupBy("to", "cut")).applyInArrow(_rerank(books, radii, k), found)
-    return best_k(near, k)
+    return wide.groupBy("grp", "cut").cogroup(sent.groupBy("to", "cut")).applyInArrow(_rerank(books, radii, k), _FOUND)

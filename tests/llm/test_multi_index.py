@@ -1,6 +1,6 @@
 import numpy as np
 
-from bulletria.llm import multi_index
+from bulletria.llm import multi_index, topk
 
 
 def recall(spark, x, queries, **options):
@@ -34,3 +34,12 @@ def test_codebooks_are_means_of_all_vectors(spark):
         assert np.allclose(got, [half[near == i].mean(0) for i in range(8)])
     few = multi_index.codebooks(df.where("vec_id < 5"), 5, 8)
     assert [c.shape for c in few] == [(5, 2), (5, 3)]
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(8)
+    lengths = [1] * 40 + [3] * 50 + [6] * 90 + [7] * 2 + [8]
+    df = spark.createDataFrame([(i, rng.normal(size=n).tolist()) for i, n in enumerate(lengths)], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in multi_index.approximate_top_k(df, 5).collect()}
+    assert got == {tuple(r) for r in topk.exact_top_k(df, 5).collect()}
+    assert {q for q, *_ in got} == set(range(len(lengths) - 1))  # the last is alone
