@@ -1,15 +1,14 @@
-"""Repeated passages: a radix sort of suffixes, limited to the threshold.
-
-Suffixes (one a token; tokens are runs of bytes above 32) are ordered only
-through their first ``threshold`` tokens, most significant digit first. The
-first digit is a run of ``DIGIT`` tokens. It is sorted for the suffixes alone
-that start at a minimiser, the least digit among threshold - DIGIT + 1
-successive ones: equal windows of threshold tokens hold the same digit at the
-same place, so a suffix that is near no minimiser with an equal elsewhere is in
-no group, and drops out. The suffixes that are left go through the second pass,
-on the rest of the threshold's tokens, and its groups of equal ones are exactly
-the repeated windows. Digits are compared as 64-bit hashes, the whole window as
-96 bits.
+"""Repeated passages: minimiser-filtered hashing of windows of the threshold.
+
+Windows (one a token; tokens are runs of bytes above 32) are compared by their
+first ``threshold`` tokens. A digit is a run of ``DIGIT`` tokens. Only the
+digits at a minimiser, the least digit among threshold - DIGIT + 1 successive
+ones, are sorted: equal windows hold the same digit at the same place, so a
+window that is near no minimiser with an equal elsewhere is in no group, and
+drops out. A second pass hashes each window that is left as a whole and groups
+by that hash; groups aren't refined digit by digit, and windows aren't put in
+token order. Digits are compared as 64-bit hashes, the whole window as 96 bits:
+groups are the repeated windows.
 
 Defined results: null and empty texts, and those under the threshold, have no
 spans. Rows with a null doc_id have none and are kept as they are. Rows that
