@@ -9,18 +9,23 @@ gives pairs in the order of the summed bounds. A query goes on through them
 until the k-th best distance so far is under the bound of the next, so it loses
 no neighbour whatever the size and shape of the table; where vectors are spread
 evenly in many dimensions bounds exclude little, and work nears that of all
-pairs. The first ``least`` entries of its own group give a query its first k-th
-distance; they change the work and not the result.
+pairs. A query's first k-th distance comes from upper bounds of the nearest cells
+(distance to the centroid plus radius) and from ``least`` vectors drawn by a
+hash; it changes the work and not the result.
 
 Codebooks are fitted by Lloyd's rounds over all vectors, from distinct halves in
-the order of a hash; each round is an aggregation by centroid. Only sums, cell
-counts and radii, of which there are centroids squared, go to the driver. Queries are grouped by neighbouring cells; an entry is sent once to
-each group that takes its cell, in slices of bounded size.
-
-Defined results: those of ``topk`` for invalid, repeated and few rows. Vectors
-are compared with those of their own length only: each length has an index of
-its own, or is one cell if it has no more vectors than centroids. An odd dimension goes to the second half. Equal distances go to the
-smaller vec_id.
+the order of a hash; each round is an aggregation by centroid. Their size grows
+with the fourth root of the number of vectors, from ``LEAST_CENTROIDS`` to
+``MOST_CENTROIDS``. Only sums, cell counts and radii, of which there are at most
+centroids squared, go to the driver. Queries are a table of their own (without
+one, the vectors themselves), grouped by neighbouring cells; an entry is sent
+once to each group that takes its cell, in slices of bounded size.
+
+Defined results: those of ``topk`` for invalid, repeated and few rows, empty
+tables and other columns. Vectors are compared with those of their own length
+only: each length has an index of its own, or is one cell if it has no more
+vectors than centroids. An odd dimension goes to the second half. Equal distances
+go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -36,11 +41,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .topk import K, best_k, matrix, vectors
 
-CENTROIDS = 32
+LEAST_CENTROIDS, MOST_CENTROIDS = 32, 1024
 ROUNDS = 12
 LEAST = 1_000
-GROUP_ROWS = 4096
-SLICE_ROWS = 65_536
+GROUP_ROWS = 512  # queries that search together
+SLICE_ROWS = 16_384  # entries that a task holds against them
 BLOCK_ROWS = 1024  # entries that a group's queries are held against at once
 _SLACK = 1e-9  # more than double precision can be off, relative to the squared lengths
 
@@ -81,6 +86,11 @@ def _halves(v: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.nda
     return distances(v[:, :half], books[0]), distances(v[:, half:], books[1])
 
 
+def _high(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], radii: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """What each half adds at most to the distance to an entry of each of its centroids."""
+    return [(np.sqrt(d) + r) ** 2 for d, r in zip(_halves(v, books), radii)]
+
+
 def _low(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], radii: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """What each half adds at least to the distance to an entry of each of its centroids."""
     return [np.maximum(np.sqrt(d) - r, 0) ** 2 for d, r in zip(_halves(v, books), radii)]
@@ -142,7 +152,12 @@ def _cells(books: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _plan(books, radii, counts: list[int], k: int, least: int):
+def centroids_for(n: int) -> int:
+    """Centroids a half for n vectors: the more vectors, the more cells."""
+    return max(LEAST_CENTROIDS, min(MOST_CENTROIDS, int(2 * n**0.25)))
+
+
+def _plan(books, radii, counts: list[int], k: int, drawn: np.ndarray):
     """For one group of queries: the packed queries, a first bound of their k-th distances, and the cells to search in order."""
     dim = books[0].shape[1] + books[1].shape[1]
 
@@ -150,12 +165,13 @@ def _plan(books, radii, counts: list[int], k: int, least: int):
         ids, v = group.column("vec_id").to_numpy(), matrix(group.column("embedding"), dim)
         order = np.lexsort((ids, group.column("cell").to_numpy()))
         ids, v = ids[order], v[order]
-        slack, bounds, step = _slack(v, v), np.full(len(ids), np.inf), max(least, k + 1)
-        for at in range(0, len(ids), step):
-            own = slice(max(0, min(at, len(ids) - step)), at + step)
-            d = distances(v[at : at + step], v[own])
-            if d.shape[1] > k:  # the query itself is among them
-                bounds[at : at + step] = np.partition(d, k, axis=1)[:, k] + slack
+        slack, bounds = _slack(v, drawn), np.full(len(ids), np.inf)
+        if len(drawn) > k:  # the query itself may be among them
+            bounds = np.partition(distances(v, drawn), k, axis=1)[:, k] + slack
+        for i, (first, second) in enumerate(zip(*_high(v, books, radii))):
+            cells = visits(first, second, counts, k + 1)
+            if sum(counts[c] for c in cells) > k:
+                bounds[i] = min(bounds[i], max(first[c // len(second)] + second[c % len(second)] for c in cells) + slack)
         a, b = _low(v, books, radii)
         taken = np.zeros(len(counts), bool)
         for at in range(0, len(ids), BLOCK_ROWS):
@@ -243,30 +259,63 @@ _FOUND = "query_id long, vec_id long, distance double"
 
 
 def _one_cell(k: int):
-    """All vectors of one length against each other."""
+    """All queries and vectors of one length against each other."""
 
-    def run(group: pa.Table) -> pa.Table:
-        ids, v = group.column("vec_id").to_numpy(), matrix(group.column("embedding"), group.column("dim")[0].as_py())
-        best = Best(ids, v, np.full(len(ids), np.inf), k)
-        best.add(np.arange(len(ids)), ids, v, _slack(v, v))
-        return pa.table({"query_id": ids[best.row], "vec_id": best.x, "distance": best.d})
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_q, out_x, out_d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if left.num_rows and right.num_rows:
+            dim = left.column("dim")[0].as_py()
+            q_ids, q = left.column("vec_id").to_numpy(), matrix(left.column("embedding"), dim)
+            ids, v = right.column("vec_id").to_numpy(), matrix(right.column("embedding"), dim)
+            best = Best(q_ids, q, np.full(len(q), np.inf), k)
+            for at in range(0, len(q), BLOCK_ROWS):
+                best.add(np.arange(at, min(at + BLOCK_ROWS, len(q))), ids, v, _slack(q, v))
+            out_q, out_x, out_d = q_ids[best.row], best.x, best.d
+        return pa.table({"query_id": out_q, "vec_id": out_x, "distance": out_d})
 
     return run
 
 
-def approximate_top_k(embeddings: DataFrame, k: int = K, centroids: int = CENTROIDS, least: int = LEAST) -> DataFrame:
-    """(query_id, rank, vec_id, distance): the k nearest others of each vector, by squared Euclidean distance."""
+def approximate_top_k(embeddings: DataFrame, k: int = K, centroids: int | None = None, least: int = LEAST, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the k nearest others of each query, by squared Euclidean distance.
+
+    queries: (vec_id, embedding), every vector without it. centroids: of each
+    half; by the number of vectors without it.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     own = materialize(vectors(embeddings).withColumn("dim", F.size("embedding")))
+    asked = own if queries is None else materialize(vectors(queries).withColumn("dim", F.size("embedding")))
     lengths = {r["dim"]: r["count"] for r in own.groupBy("dim").count().collect()}
-    large = [dim for dim in sorted(lengths) if lengths[dim] > centroids]
-    near = own.where(~F.col("dim").isin(large)).groupBy("dim").applyInArrow(_one_cell(k), _FOUND)
-    for dim in large:
-        near = near.union(_near(own.where(F.col("dim") == dim).drop("dim"), dim, lengths[dim], k, centroids, least))
+    large = {dim: c for dim, n in sorted(lengths.items()) if n > (c := centroids or centroids_for(n))}
+    few, small = (df.where(~F.col("dim").isin(list(large))) for df in (asked, own))
+    cut = F.pmod(F.xxhash64("vec_id"), F.lit(1 + few.count() // GROUP_ROWS)).alias("part")
+    few = few.withColumn("part", cut)
+    sent = few.select(F.col("dim").alias("to"), F.col("part").alias("at")).distinct().join(small, F.col("to") == F.col("dim"))
+    near = few.groupBy("dim", "part").cogroup(sent.groupBy("to", "at")).applyInArrow(_one_cell(k), _FOUND)
+    for dim, c in large.items():
+        own_dim, asked_dim = (df.where(F.col("dim") == dim).drop("dim") for df in (own, asked))
+        near = near.union(_near(own_dim, asked_dim, dim, lengths[dim], k, c, least))
     return best_k(near, k)
 
 
-def _near(own: DataFrame, dim: int, n: int, k: int, centroids: int, least: int) -> DataFrame:
-    """_FOUND of at least the k nearest of each vector; all n have one length."""
+def _groups(counts: list[int]) -> list[tuple[int, int, int]]:
+    """(cell, group, parts) of each cell with queries: neighbours together, a large one cut by vec_id."""
+    out, at, size = [], 0, 0
+    for cell, count in enumerate(counts):
+        if not count:
+            continue
+        if size and size + count > GROUP_ROWS:
+            at, size = at + 1, 0
+        parts = -(-count // GROUP_ROWS)
+        out.append((cell, at, parts))
+        at, size = (at + parts, 0) if parts > 1 else (at, size + count)
+    return out
+
+
+def _near(own: DataFrame, asked: DataFrame, dim: int, n: int, k: int, centroids: int, least: int) -> DataFrame:
+    """_FOUND of at least the k nearest of each query; all have one length."""
+    spark = own.sparkSession
     books = codebooks(own, dim, centroids)
     placed = F.arrow_udf(_cells(books), "cell int, ra double, rb double")("embedding")
     entries = materialize(own.withColumn("at", placed).select("vec_id", "embedding", "at.cell", "at.ra", "at.rb"))
@@ -277,19 +326,16 @@ def _near(own: DataFrame, dim: int, n: int, k: int, centroids: int, least: int)
         i, j = divmod(r["cell"], len(books[1]))
         radii[0][i], radii[1][j] = max(radii[0][i], r["ra"]), max(radii[1][j], r["rb"])
 
-    groups, at, size = [], 0, 0
-    for count in counts:  # neighbouring cells together; a large one is cut by vec_id
-        if size and size + count > GROUP_ROWS:
-            at, size = at + 1, 0
-        parts = max(1, -(-count // GROUP_ROWS))
-        groups.append((at, parts))
-        at, size = (at + parts, 0) if parts > 1 else (at, size + count)
-    first = F.array(*[F.lit(g) for g, _ in groups])
-    parts = F.array(*[F.lit(p) for _, p in groups])
-    here = F.col("cell") + 1
-    grp = F.element_at(first, here) + F.pmod(F.xxhash64("vec_id"), F.element_at(parts, here)).cast("int")
+    at_cells = materialize(asked.withColumn("at", placed).select("vec_id", "embedding", "at.cell"))
+    wanted = [0] * len(counts)
+    for r in at_cells.groupBy("cell").count().collect():
+        wanted[r["cell"]] = r["count"]
+    groups = spark.createDataFrame(_groups(wanted), "cell int, first int, parts int")
+    grp = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    some = own.orderBy(F.xxhash64(F.lit("drawn"), "vec_id"), "vec_id").limit(least).select("embedding").collect()
+    drawn = np.array([r["embedding"] for r in some], float).reshape(-1, dim)
     plan = materialize(
-        entries.withColumn("grp", grp).groupBy("grp").applyInArrow(_plan(books, radii, counts, k, least), "grp int, ids binary, vs binary, bounds binary, cells array<int>")
+        at_cells.join(groups, "cell").withColumn("grp", grp).groupBy("grp").applyInArrow(_plan(books, radii, counts, k, drawn), "grp int, ids binary, vs binary, bounds binary, cells array<int>")
     )
     slices = max(1, -(-n // SLICE_ROWS))
     cut = F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("cut")

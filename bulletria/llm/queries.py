@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import format_chats
 from .common import table
@@ -23,6 +24,10 @@ BLOCK = ["spam-farm.example.org", "casino.example.com", "tionsh.example.net/de",
 ALLOW = ["blog.tionsh.example.net", "m.tiontion.example.com/en", "example.org"]
 
 
+#: Searches take every vector whose id this number divides as a query, against all vectors.
+QUERY_EVERY = 50
+
+
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -60,7 +65,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return approximate_top_k(table(spark, sf_dir, "embeddings"))
+    embeddings = table(spark, sf_dir, "embeddings")
+    return approximate_top_k(embeddings, queries=embeddings.where(F.col("vec_id") % QUERY_EVERY == 0))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

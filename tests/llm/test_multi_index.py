@@ -6,7 +6,8 @@ from bulletria.llm import multi_index, topk
 def recall(spark, x, queries, **options):
     """Share of the 10 nearest of some queries that the index finds."""
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {(r.query_id, r.vec_id) for r in multi_index.approximate_top_k(df, 10, **options).collect()}
+    asked = df.where(df.vec_id.isin([int(q) for q in queries]))
+    got = {(r.query_id, r.vec_id) for r in multi_index.approximate_top_k(df, 10, queries=asked, **options).collect()}
     d = multi_index.distances(x[queries], x)
     d[np.arange(len(queries)), queries] = np.inf
     want = {(int(q), int(v)) for q, row in zip(queries, d) for v in np.argpartition(row, 10)[:10]}
