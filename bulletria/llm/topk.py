@@ -9,15 +9,17 @@ are dropped, and the survivors compacted, before the next dimensions are read
 (de Vries et al., BOND, SIGMOD 2002). Survivors of all dimensions get their
 distance again in double precision, so rounding decides nothing.
 
-Every vector is a query, and every pair of blocks is looked at: work grows with
-the square of their number, which is what an exact answer for all rows takes.
-A block's own neighbours give each query a first bound.
+Queries are a table of their own (without one, the vectors themselves). They are
+packed into blocks too, and each block of queries meets each block of vectors of
+its length: work grows with the product of both, as an exact answer takes.
 
 Defined results: rows with a null vec_id, a null or empty embedding, or one with
-a null, NaN or infinite element are left out. Of several rows with one vec_id
-the one with the least embedding counts. Vectors are compared with those of
-their own length only. A vector isn't its own neighbour; equal distances go to
-the smaller vec_id; with fewer than k others there are fewer neighbours.
+a null, NaN or infinite element are left out, of queries as of vectors. Of
+several rows with one vec_id the one with the least embedding counts. Vectors
+are compared with those of their own length only, however long. A vector isn't
+its own neighbour, told by its vec_id; equal distances go to the smaller vec_id;
+with fewer than k others there are fewer neighbours. No vectors or no queries
+give no rows. Columns other than vec_id and embedding aren't looked at.
 """
 
 from __future__ import annotations
@@ -33,12 +35,13 @@ from .common import materialize
 
 K = 10
 BLOCK_ROWS = 8_192
+QUERY_ROWS = 1_024
 STEP = 8
-SEEDS = 512  # rows of a block that give a query without a bound its first one
+SEEDS = 512  # rows of a block that give a query its first bound
 SPARSE = 0.25  # share of survivors under which they are compacted
 _BATCH = 64
 _SLACK = 1e-4  # more than single precision can be off, relative to the lengths
-_BLOCK_DDL = "dim int, block int, ids binary, columns binary, bounds binary"
+_BLOCK_DDL = "dim int, block int, ids binary, columns binary"
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
@@ -69,16 +72,16 @@ class Block:
         self.power = -np.diff(power[self.edges], axis=0).astype(np.float32)
 
 
-def search(queries: Block, block: Block, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, block row, squared distance) of up to k neighbours a query, none beyond its bound."""
+def search(queries: Block, block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, block row, squared distance) of up to k neighbours a query."""
     out_q, out_x, out_d = [], [], []
     n, edges = len(block.ids), block.edges
     slack = _SLACK * float((queries.rest[0] ** 2).max(initial=0) + (block.rest[0] ** 2).max(initial=0))
     rows = np.arange(n)
     for a in range(0, len(queries.ids), _BATCH):
         part = slice(a, min(a + _BATCH, len(queries.ids)))
-        limit = bounds[part].copy()
-        if n > k + 1 and not np.isfinite(limit).all():
+        limit = np.full(part.stop - part.start, np.inf)
+        if n > k + 1:
             some = slice(0, max(SEEDS, k + 1))
             near = queries.rest[0, part][:, None] ** 2 + block.rest[0, some][None, :] ** 2 - 2 * queries.columns[:, part].T @ block.columns[:, some]
             seed = np.partition(near, k, axis=1)[:, k] + slack if near.shape[1] > k else limit  # the query itself may be among them
@@ -119,28 +122,25 @@ def search(queries: Block, block: Block, bounds: np.ndarray, k: int) -> tuple[np
     return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_d)
 
 
-def _pack(k: int):
-    def run(group: pa.Table) -> pa.Table:
-        dim, number = group.column("dim")[0].as_py(), group.column("block")[0].as_py()
-        block = Block(group.column("vec_id").to_numpy(), matrix(group.column("embedding"), dim))
-        q, _, d = search(block, block, np.full(len(block.ids), np.inf), k)
-        bounds = np.full(len(block.ids), np.inf)
-        if len(q):
-            count = np.bincount(q, minlength=len(bounds))
-            last = np.cumsum(count) - 1
-            full = count >= k
-            bounds[full] = d[last[full]]
-        return pa.table(
-            {
-                "dim": pa.array([dim], pa.int32()),
-                "block": pa.array([number], pa.int32()),
-                "ids": pa.array([block.ids.tobytes()], pa.binary()),
-                "columns": pa.array([block.x.tobytes()], pa.binary()),
-                "bounds": pa.array([bounds.tobytes()], pa.binary()),
-            }
-        )
+def _pack(group: pa.Table) -> pa.Table:
+    """Vectors of one length and block as one row."""
+    dim, number = group.column("dim")[0].as_py(), group.column("block")[0].as_py()
+    ids, x = group.column("vec_id").to_numpy(), matrix(group.column("embedding"), dim)
+    return pa.table(
+        {
+            "dim": pa.array([dim], pa.int32()),
+            "block": pa.array([number], pa.int32()),
+            "ids": pa.array([ids.tobytes()], pa.binary()),
+            "columns": pa.array([x.tobytes()], pa.binary()),
+        }
+    )
 
-    return run
+
+def _packed(own: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """Blocks of about so many vectors, and their number for each length."""
+    blocks = max(1, -(-own.count() // rows))
+    placed = own.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    return materialize(placed.groupBy("dim", "block").applyInArrow(_pack, _BLOCK_DDL)), blocks
 
 
 def _block(row: dict, side: str) -> Block:
@@ -153,7 +153,7 @@ def _pairs(k: int):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 queries, block = _block(row, "q_"), _block(row, "x_")
-                q, x, d = search(queries, block, np.frombuffer(row["bounds"], "<f8"), k)
+                q, x, d = search(queries, block, k)
                 yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(block.ids[x]), pa.array(d)], names=["query_id", "vec_id", "distance"])
 
     return run
@@ -166,16 +166,17 @@ def best_k(found: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-def exact_top_k(embeddings: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, distance): the k nearest others of each vector, by squared Euclidean distance."""
+def exact_top_k(embeddings: DataFrame, k: int = K, queries: DataFrame | None = None, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the k nearest others of each query, by squared Euclidean distance.
+
+    queries: (vec_id, embedding), every vector without it.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
-    own = vectors(embeddings)
-    blocks = max(1, -(-own.count() // block_rows))
-    placed = own.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    packed = materialize(placed.groupBy("dim", "block").applyInArrow(_pack(k), _BLOCK_DDL)).repartition(blocks, "block")
-    left = packed.select("dim", F.col("ids").alias("q_ids"), F.col("columns").alias("q_columns"), "bounds")
-    right = packed.select(F.col("dim").alias("x_dim"), F.col("ids").alias("x_ids"), F.col("columns").alias("x_columns"))
+    right, blocks = _packed(vectors(embeddings), block_rows)
+    left, _ = _packed(vectors(embeddings if queries is None else queries), query_rows)
+    left = left.select("dim", F.col("ids").alias("q_ids"), F.col("columns").alias("q_columns"))
+    right = right.repartition(blocks, "block").select(F.col("dim").alias("x_dim"), F.col("ids").alias("x_ids"), F.col("columns").alias("x_columns"))
     same = F.least("dim", "x_dim") == F.greatest("dim", "x_dim")  # no equi-join: blocks of one length must not meet in one task
     pairs = left.hint("shuffle_replicate_nl").join(right, same).drop("x_dim")
     return best_k(pairs.mapInArrow(_pairs(k), "query_id long, vec_id long, distance double"), k)

@@ -61,7 +61,22 @@ def test_exact_top_k(spark):
     vectors = {i: [float(v) for v in rng.integers(-2, 3, 20)] for i in range(150)} | {i: [float(v) for v in rng.integers(-2, 3, 5)] for i in range(150, 170)}
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors.items()], "vec_id long, embedding array<float>, block string")
     for rows in (16_384, 40):
-        assert {(r.query_id, r.rank, r.vec_id) for r in topk.exact_top_k(df, 4, rows).collect()} == brute_top_k(vectors, 4)
+        assert {(r.query_id, r.rank, r.vec_id) for r in topk.exact_top_k(df, 4, block_rows=rows, query_rows=rows).collect()} == brute_top_k(vectors, 4)
+
+
+def test_searches_with_queries_of_their_own(spark):
+    rng = np.random.default_rng(12)
+    vectors = {i: [float(v) for v in rng.integers(-3, 4, 12)] for i in range(600)} | {i: [float(v) for v in rng.integers(-2, 3, 5)] for i in range(600, 620)}
+    asked = {i: [float(v) for v in rng.integers(-9, 10, n)] for i, n in [(0, 12), (7, 12), (605, 5), (9000, 12), (9001, 5), (9002, 77)]}
+    df, q = (spark.createDataFrame(list(t.items()), "vec_id long, embedding array<double>") for t in (vectors, asked))
+    want = set()
+    for i, x in asked.items():
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), v) for v, y in vectors.items() if v != i and len(y) == len(x))
+        want |= {(i, n + 1, v) for n, (_, v) in enumerate(near[:5])}
+    for search in (topk.exact_top_k, multi_index.approximate_top_k):
+        assert {(r.query_id, r.rank, r.vec_id) for r in search(df, 5, queries=q).collect()} == want
+        assert search(df, 5, queries=q.where("false")).count() == 0
+        assert search(df.where("false"), 5, queries=q).count() == 0
 
 
 def test_top_k_odd_rows(spark):
