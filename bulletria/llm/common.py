@@ -35,7 +35,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a materialize() that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -67,7 +76,7 @@ def scatter(schema: pa.Schema, place: np.ndarray, record: np.ndarray) -> pa.Reco
     cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
     ends = np.r_[cuts[1:], len(place)] if len(cuts) else cuts
     parts = [record[a:b].tobytes() for a, b in zip(cuts, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(place[cuts].astype(np.int32)), pa.array(parts, pa.binary())], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(place[cuts]).cast(schema.field(0).type), pa.array(parts, pa.binary())], schema=schema)
 
 
 SCATTER = pa.schema([("place", pa.int32()), ("records", pa.binary())])
