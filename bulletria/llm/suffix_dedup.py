@@ -1,20 +1,30 @@
-"""Repeated passages: minimiser-filtered hashing of windows of the threshold.
-
-Windows (one a token; tokens are runs of bytes above 32) are compared by their
-first ``threshold`` tokens. A digit is a run of ``DIGIT`` tokens. Only the
-digits at a minimiser, the least digit among threshold - DIGIT + 1 successive
-ones, are sorted: equal windows hold the same digit at the same place, so a
-window that is near no minimiser with an equal elsewhere is in no group, and
-drops out. A second pass hashes each window that is left as a whole and groups
-by that hash; groups aren't refined digit by digit, and windows aren't put in
-token order. Digits are compared as 64-bit hashes, the whole window as 96 bits:
-groups are the repeated windows.
+"""Repeated passages: a depth-limited radix sort of suffixes.
+
+Suffixes (one a token; tokens are runs of bytes above 32) are ordered only
+through their first ``threshold`` tokens, in digits of ``DIGIT`` tokens, most
+significant first. Groups of one drop out after each pass; those that are left
+after the last are exactly the repeated windows.
+
+The first pass looks at a part of the suffixes only, those at a minimiser: the
+least digit among threshold - DIGIT + 1 successive ones. Equal windows hold the
+same minimiser at the same place, so a window that is near no minimiser with an
+equal elsewhere is in no group. The windows that are left are sent on with all
+their digits, to a place that depends on the whole window, so that no digit is
+hot, and there they are sorted digit by digit. Digits are compared as hashes, of
+64 bits in the first pass and of 32 for each digit of a window later.
+
+Before either shuffle equal keys of a batch of about ``RECORDS_A_BATCH`` records
+are merged: those that are equal within a batch are known to be repeated, and
+only the first of them goes on. A passage that a third of all documents hold
+thus comes to its place once a batch.
 
 Defined results: null and empty texts, and those under the threshold, have no
-spans. Rows with a null doc_id have none and are kept as they are. Rows that
-share both doc_id and text count once; of different texts under one doc_id the
-least counts, and the others are kept as they are. Of equal windows the first
-by (doc_id, position) stays. Repeats within a document count.
+spans; texts of any length are read whole. Rows with a null doc_id have none and
+are kept as they are. Rows that share both doc_id and text count once; of
+different texts under one doc_id the least counts, and the others are kept as
+they are. Of equal windows the first by (doc_id, position) stays. Repeats within
+a document count. No rows give no spans. Columns other than doc_id, text and
+n_chars aren't looked at. A doc_id must be a number.
 """
 
 from __future__ import annotations
@@ -35,8 +45,9 @@ RECORDS_A_TASK = 2_000_000
 RECORDS_A_BATCH = 1 << 20
 
 _U = np.uint64
-_ANCHOR = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<i4")])
-_WINDOW = np.dtype([("key", "<u8"), ("check", "<u4"), ("at", "<i4"), ("doc", "<i8")])
+#: twice: whether the batch that the record comes from has an equal one.
+_ANCHOR = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("twice", "i1")])
+_MARK = np.dtype([("doc", "<i8"), ("at", "<i4")])
 _SPAN = np.dtype([("doc", "<i8"), ("at", "<i4"), ("later", "<i4")])
 
 
@@ -77,45 +88,81 @@ def minimisers(tokens: np.ndarray, docs: np.ndarray, threshold: int, digit: int)
     return at, grams[at]
 
 
-def _scattered(found: list[np.ndarray], places: int) -> pa.RecordBatch:
+def _window_type(threshold: int, digit: int) -> np.dtype:
+    return np.dtype([("digits", "<u4", (-(-threshold // digit),)), ("at", "<i4"), ("doc", "<i8"), ("twice", "i1")])
+
+
+def _by_doc(docs: np.ndarray, places: int) -> np.ndarray:
+    """Places behind those of the keys."""
+    return places + (S.mix(docs.view(np.uint64)) % _U(places)).astype(np.int64)
+
+
+def _sent(place: np.ndarray, rec: np.ndarray) -> pa.RecordBatch:
+    return scatter(SCATTER, place.astype(np.int32), rec)
+
+
+def _equal(group: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys have an equal beside them."""
+    same = group[1:] == group[:-1]
+    return np.r_[False, same] | np.r_[same, False]
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Which rows begin a group of equal ones; rows with the same values lie together."""
+    differ = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        other = c[1:] != c[:-1]
+        differ |= other.any(1) if other.ndim > 1 else other
+    return np.r_[True, differ][: len(columns[0])]
+
+
+def _send_anchors(found: list[np.ndarray], places: int) -> Iterator[pa.RecordBatch]:
+    """Each key once to its place; the anchors that share a key within the batch to those of their documents."""
     rec = np.concatenate(found)
-    return scatter(SCATTER, ((rec["key"] >> _U(20)) % _U(places)).astype(np.int32), rec)
+    rec = rec[np.argsort(rec["key"], kind="stable")]
+    rec["twice"] = _equal(rec["key"])[: len(rec)]
+    marks = np.empty(int(rec["twice"].sum()), _MARK)
+    for k in ("doc", "at"):
+        marks[k] = rec[k][rec["twice"] > 0]
+    yield _sent(_by_doc(marks["doc"], places), marks)
+    rec = rec[_heads(rec["key"])]
+    yield _sent((rec["key"] >> _U(20)) % _U(places), rec)
 
 
 def _anchors(threshold: int, digit: int, places: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
         for batch in batches:
-            ids, found = batch.column(0).to_numpy(), []
+            ids = batch.column(0).to_numpy()
             for span in S.spans(batch.column(1)):
                 starts, ends, docs = S.token_bounds(span)
                 tokens = S.token_hashes(span, starts, ends)
                 at, key = minimisers(tokens, docs, threshold, digit)
-                out = np.empty(len(at), _ANCHOR)
+                out = np.zeros(len(at), _ANCHOR)
                 out["key"], out["doc"] = key, ids[span.first + docs[at]]
                 out["at"] = at - S.doc_token_starts(docs, span.docs)[docs[at]]
                 found.append(out)
                 if sum(map(len, found)) >= RECORDS_A_BATCH:
-                    yield _scattered(found, places)
+                    yield from _send_anchors(found, places)
                     found = []
-            if found:
-                yield _scattered(found, places)
+        if found:
+            yield from _send_anchors(found, places)
 
     return run
 
 
-def _equal(group: np.ndarray) -> np.ndarray:
-    """Which of the sorted keys have an equal beside them."""
-    same = group[1:] == group[:-1]
-    return np.r_[False, same] | np.r_[same, False]
-
-
 def _first_pass(places: int):
+    """At a key's place: the anchors that share it with another batch. At a document's: what comes there."""
+
     def run(group: pa.Table) -> pa.Table:
-        rec = gathered(group.column("records"), _ANCHOR)
-        rec = rec[np.argsort(rec["key"], kind="stable")]
-        rec = rec[_equal(rec["key"])] if len(rec) else rec
+        if group.column("place")[0].as_py() >= places:
+            rec = gathered(group.column("records"), _MARK)
+        else:
+            rec = gathered(group.column("records"), _ANCHOR)
+            rec = rec[np.argsort(rec["key"], kind="stable")]
+            rec = rec[_equal(rec["key"])[: len(rec)] & (rec["twice"] == 0)]  # those that had an equal in their batch are marked already
         rec = rec[np.argsort(rec["doc"], kind="stable")]
-        cuts = np.flatnonzero(np.r_[True, rec["doc"][1:] != rec["doc"][:-1]]) if len(rec) else np.zeros(0, np.int64)
+        cuts = np.flatnonzero(_heads(rec["doc"]))
         at = np.ascontiguousarray(rec["at"])
         lists = [at[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(rec)])]
         return pa.table({"doc_id": pa.array(rec["doc"][cuts], pa.int64()), "at": pa.array(lists, pa.binary())})
@@ -123,12 +170,33 @@ def _first_pass(places: int):
     return run
 
 
+def _send_windows(found: list[np.ndarray], keys: list[np.ndarray], places: int) -> Iterator[pa.RecordBatch]:
+    """Each window's text once to its place; the later ones of those that are equal within the batch to their documents."""
+    rec, key = np.concatenate(found), np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    rec, key = rec[order], key[order]
+    twice = _equal(key)[: len(rec)]
+    alone, some, key_some = rec[~twice], rec[twice], key[twice]
+    order = np.lexsort((some["at"], some["doc"], *some["digits"].T, key_some))
+    some, key_some = some[order], key_some[order]
+    head = _heads(key_some, some["digits"])
+    some["twice"] = head & ~np.r_[head[1:], True][: len(head)]
+    spans = np.empty(int((~head).sum()), _SPAN)
+    spans["doc"], spans["at"], spans["later"] = some["doc"][~head], some["at"][~head], 1
+    yield _sent(_by_doc(spans["doc"], places), spans)
+    yield _sent(np.concatenate([key[~twice], key_some[head]]) % _U(places), np.concatenate([alone, some[head]]))
+
+
 def _windows(threshold: int, digit: int, places: int):
     reach = threshold - digit
+    kind = _window_type(threshold, digit)
+    steps = np.minimum(np.arange(kind["digits"].shape[0]) * digit, reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
         for batch in batches:
-            ids, lists, found = batch.column(0).to_numpy(), batch.column(2), []
+            ids, lists = batch.column(0).to_numpy(), batch.column(2)
             for span in S.spans(batch.column(1)):
                 starts, ends, docs = S.token_bounds(span)
                 tokens = S.token_hashes(span, starts, ends)
@@ -143,34 +211,56 @@ def _windows(threshold: int, digit: int, places: int):
                         np.add.at(delta, np.maximum(at - reach, first[d]), 1)
                         np.add.at(delta, at + 1, -1)
                 take = np.flatnonzero(whole & (np.cumsum(delta)[: len(whole)] > 0))
-                key = S.window_hashes(tokens, threshold)[take]
-                check = S.window_hashes(S.mix(tokens + _U(1)), threshold)[take]
-                out = np.empty(len(take), _WINDOW)
-                out["key"], out["check"] = key, (check >> _U(32)).astype(np.uint32)
+                grams = (S.window_hashes(tokens, digit) >> _U(32)).astype(np.uint32)
+                out = np.zeros(len(take), kind)
+                for j, step in enumerate(steps):
+                    out["digits"][:, j] = grams[take + step]
                 out["doc"], out["at"] = ids[span.first + docs[take]], take - first[docs[take]]
                 found.append(out)
+                keys.append(S.window_hashes(tokens, threshold)[take])
                 if sum(map(len, found)) >= RECORDS_A_BATCH:
-                    yield _scattered(found, places)
-                    found = []
-            if found:
-                yield _scattered(found, places)
+                    yield from _send_windows(found, keys, places)
+                    found, keys = [], []
+        if found:
+            yield from _send_windows(found, keys, places)
 
     return run
 
 
-def _second_pass(places: int):
+def radix_groups(digits: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their digits, most significant first, and which of them begin a group of equal ones.
+
+    Rows that are alone after a pass drop out, but for those in kept.
+    """
+    rows = np.arange(len(digits))
+    group = np.zeros(len(digits), np.int64)
+    head = np.ones(len(digits), bool)
+    for j in range(digits.shape[1]):
+        digit = digits[rows, j]
+        order = np.argsort((group.astype(np.uint64) << _U(32)) | digit, kind="stable")
+        rows, group, digit = rows[order], group[order], digit[order]
+        head = _heads(group, digit)
+        stay = ~(head & np.r_[head[1:], True][: len(head)]) | kept[rows]
+        rows, head = rows[stay], head[stay]
+        group = np.cumsum(head) - 1
+    return rows, head
+
+
+def _second_pass(threshold: int, digit: int, places: int):
+    kind = _window_type(threshold, digit)
+
     def run(group: pa.Table) -> pa.Table:
-        rec = gathered(group.column("records"), _WINDOW)
-        rec = rec[np.argsort(rec["key"], kind="stable")]
-        rec = rec[_equal(rec["key"])] if len(rec) else rec
-        rec = rec[np.lexsort((rec["at"], rec["doc"], rec["check"], rec["key"]))]
-        name = np.stack([rec["key"], rec["check"].astype(np.uint64)], 1)
-        same = (name[1:] == name[:-1]).all(1)
-        twice = (np.r_[False, same] | np.r_[same, False])[: len(rec)]
-        out = np.empty(int(twice.sum()), _SPAN)
-        out["doc"], out["at"], out["later"] = rec["doc"][twice], rec["at"][twice], np.r_[False, same][: len(rec)][twice]
-        batch = scatter(SCATTER, (S.mix(out["doc"].view(np.uint64)) % _U(places)).astype(np.int32), out)
-        return pa.Table.from_batches([batch])
+        place = group.column("place")[0].as_py()
+        if place >= places:
+            return pa.Table.from_batches([b for b in group.select(["place", "records"]).cast(SCATTER).to_batches()], SCATTER)
+        rec = gathered(group.column("records"), kind)
+        rows, head = radix_groups(rec["digits"], rec["twice"] > 0)
+        rec, name = rec[rows], np.cumsum(head)
+        order = np.lexsort((rec["at"], rec["doc"], name))
+        rec, first = rec[order], head  # groups keep their places, so their first rows are where heads were
+        out = np.empty(len(rec), _SPAN)
+        out["doc"], out["at"], out["later"] = rec["doc"], rec["at"], ~first
+        return pa.Table.from_batches([_sent(_by_doc(out["doc"], places), out)])
 
     return run
 
@@ -210,12 +300,13 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, digit: int = DIG
     one = own.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(docs) else own
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = _places(size // 4 // max(1, (threshold - digit) // 2))
-    near = one.mapInArrow(_anchors(threshold, digit, places), SCATTER_DDL).groupBy("place").applyInArrow(_first_pass(places), "doc_id long, at binary")
+    anchors = one.mapInArrow(_anchors(threshold, digit, places), SCATTER_DDL)
+    near = anchors.groupBy("place").applyInArrow(_first_pass(places), "doc_id long, at binary")
     near = materialize(near.groupBy("doc_id").agg(F.collect_list("at").alias("at")))
     left = near.agg(F.sum(F.aggregate("at", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
     places = _places(left // 4 * (threshold - digit) // 2)
     found = one.join(near, "doc_id").select("doc_id", "text", "at").mapInArrow(_windows(threshold, digit, places), SCATTER_DDL)
-    equal = found.groupBy("place").applyInArrow(_second_pass(places), SCATTER_DDL)
+    equal = found.groupBy("place").applyInArrow(_second_pass(threshold, digit, places), SCATTER_DDL)
     return equal.groupBy("place").applyInArrow(_spans(threshold), "doc_id long, later boolean, start_token int, end_token int")
 
 
