@@ -42,7 +42,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy_no")
+    return mix_sources(table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,24 +112,23 @@ FROM runs GROUP BY doc_id, later, run
 
 SQL["op4_source_mixing"] = """
 WITH rows AS (
-  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS s,
-         coalesce(length(text), 0) AS size, doc_id % 1024 AS bucket
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS s, coalesce(length(text), 0) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % 4096 AS bucket
   FROM documents
 ), sizes AS (
   SELECT s, CAST(sum(size) AS BIGINT) AS n FROM rows GROUP BY s
 ), whole AS (
   SELECT count(*)::DOUBLE AS sources, sum(n)::DOUBLE AS total FROM sizes
-), rates AS (
-  SELECT s, CASE WHEN n = 0 THEN 1000000
-                 ELSE CAST(floor(1.0::DOUBLE / sources * total / n::DOUBLE * 1000000.0::DOUBLE) AS BIGINT) END AS each,
-         CAST('0x' || substr(md5('17:' || s), 1, 8) AS BIGINT) % 1000000 AS shift
+), each AS (
+  SELECT s, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / sources * total / n::DOUBLE END AS e,
+         CAST('0x' || substr(md5('17:' || s), 1, 15) AS HUGEINT) * 4 AS shift
   FROM sizes, whole
+), rates AS (
+  SELECT s, CAST(floor(e) AS BIGINT) AS whole_copies, CAST(floor((e - floor(e)) * 4611686018427387904::DOUBLE) AS HUGEINT) AS part, shift FROM each
 ), placed AS (
-  SELECT doc_id, source, each,
-         shift + each * row_number() OVER (PARTITION BY s ORDER BY bucket, doc_id) AS stop
-  FROM rows JOIN rates USING (s)
+  SELECT doc_id, source, whole_copies, part, shift, CAST(row_number() OVER (PARTITION BY s ORDER BY bucket, doc_id) AS HUGEINT) AS n FROM rows JOIN rates USING (s)
 ), drawn AS (
-  SELECT doc_id, source, stop // 1000000 - (stop - each) // 1000000 AS copies FROM placed
+  SELECT doc_id, source, CAST(whole_copies + (shift + part * n) // 4611686018427387904 - (shift + part * (n - 1)) // 4611686018427387904 AS BIGINT) AS copies FROM placed
 )
 SELECT doc_id, source, unnest(range(1, copies + 1)) AS copy_no FROM drawn WHERE copies > 0
 """
