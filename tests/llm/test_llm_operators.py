@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bulletria.llm import chat, language_id, license_scan, mixing, multi_index, near_dedup, packing, suffix_dedup, topk, url_filter
@@ -113,6 +114,30 @@ def test_multi_sequence_order():
 # 2. SimHash near-dedup
 
 
+def brute_groups(prints, radius):
+    """(doc_id, group_id, copies, links) from all pairs."""
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = defaultdict(set)
+    for i in prints:
+        for j in prints:
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                near[i].add(prints[j])
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    groups, copies = Counter(find(i) for i in prints), Counter(prints.values())
+    return {(i, find(i), copies[prints[i]], len(near[i]) - 1) for i in prints if groups[find(i)] > 1}
+
+
+def fingerprints_of(df):
+    return {r.doc_id: ((r.high % 2**64) << 64) | (r.low % 2**64) for r in near_dedup.fingerprints(df).collect()}
+
+
 def test_near_groups_are_components_of_close_pairs(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -127,23 +152,65 @@ def test_near_groups_are_components_of_close_pairs(spark):
             texts.append(" ".join(words))
     texts += [texts[0]] * 20
     df = spark.createDataFrame(rows_of(texts), DOCS)
-    prints = {r.doc_id: ((r.high % 2**64) << 64) | (r.low % 2**64) for r in near_dedup.fingerprints(df).collect()}
-    root = {i: i for i in prints}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in prints:
-        for j in prints:
-            if i < j and (prints[i] ^ prints[j]).bit_count() <= near_dedup.RADIUS:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    groups = Counter(find(i) for i in prints)
-    want = {(i, find(i)) for i in prints if groups[find(i)] > 1}
-    assert want and {(r.doc_id, r.group_id) for r in near_dedup.near_duplicate_groups(df).collect()} == want
-    assert len(ids(near_dedup.deduplicate(df))) == len(groups)
+    want = brute_groups(fingerprints_of(df), near_dedup.RADIUS)
+    got = near_dedup.near_duplicate_groups(df).collect()
+    assert want and {(r.doc_id, r.group_id, r.copies, r.links) for r in got} == want
+    assert all(r.kept == (r.doc_id == r.group_id) for r in got)
+    assert len(ids(near_dedup.deduplicate(df))) == len(texts) - sum(not r.kept for r in got)
+
+
+def crowded_prints(rng):
+    """Fingerprints with little variety."""
+    centres = [rng.getrandbits(128) for _ in range(3)]
+    prints = set()
+    for _ in range(250):
+        x = rng.choice(centres)
+        for _ in range(rng.randrange(14)):
+            x ^= 1 << rng.randrange(128 if rng.random() < 0.3 else 60)
+        prints.add(x)
+    return prints
+
+
+@pytest.mark.parametrize("large", [1, 16, 10**9])
+def test_large_buckets_are_thinned_out_by_the_next_segment(monkeypatch, large):
+    monkeypatch.setattr(near_dedup, "LARGE_BUCKET", large)
+    monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", 500)
+    prints = crowded_prints(random.Random(large))
+    high, low = (np.array([x >> 64 & 2**64 - 1 if h else x & 2**64 - 1 for x in prints], np.uint64).view(np.int64) for h in (1, 0))
+    sent = defaultdict(list)
+    for batch in near_dedup._send(near_dedup.Tree(0, {}, {}, 0))([pa.RecordBatch.from_arrays([pa.array(high), pa.array(low)], names=["high", "low"])]):
+        for r in batch.to_pylist():
+            sent[r["place"]].append(r["records"])
+    links = Counter()
+    for place, records in sent.items():
+        out = near_dedup._find(14, 0)(pa.table({"place": pa.array([place] * len(records), pa.int64()), "records": pa.array(records, pa.binary())}))
+        for r in out.to_pylist():
+            links[((r["high"] % 2**64) << 64) | (r["low"] % 2**64)] += r["links"]
+    assert links == +Counter({x: sum((x ^ y).bit_count() <= 14 for y in prints) - 1 for x in prints})
+
+
+@pytest.mark.parametrize("leaf", [4, 60, 100_000])
+def test_links_are_counted_once_however_values_are_split(spark, leaf):
+    """Crowded prefixes, and crowded whole values."""
+    prints = crowded_prints(random.Random(leaf))
+    signed = [(x >> 64, x & 2**64 - 1) for x in prints]
+    df = spark.createDataFrame([tuple(v - 2**64 if v >= 2**63 else v for v in p) for p in signed], "high long, low long").repartition(2)
+    links, near = Counter(), defaultdict(set)
+    for r in near_dedup.similar_links(df, 14, leaf).collect():
+        a, b = (((getattr(r, h) % 2**64) << 64) | (getattr(r, k) % 2**64) for h, k in (("high", "low"), ("to_high", "to_low")))
+        links[a] += r.links
+        near[a].add(b)
+        near[b].add(a)
+    assert links == +Counter({x: sum((x ^ y).bit_count() <= 14 for y in prints) - 1 for x in prints})
+
+    def reach(x, step):
+        seen, todo = {x}, [x]
+        while todo:
+            todo = [z for y in todo for z in step(y) if z not in seen and not seen.add(z)]
+        return seen
+
+    for x in prints:
+        assert reach(x, lambda y: near[y]) == reach(x, lambda y: [z for z in prints if (y ^ z).bit_count() <= 14])
 
 
 def test_near_dedup_odd_rows(odd, empty):
@@ -224,13 +291,28 @@ def test_mixing_meets_targets(spark):
     assert all(int(each[r[3]]) <= copies[r[0]] <= int(each[r[3]]) + 1 for r in rows)
 
 
-def test_mixing_odd_rows(odd, empty):
+def test_mixing_keeps_sources_of_tiny_rates(spark):
+    df = spark.range(300_000).selectExpr("id AS doc_id", "'en' AS lang", "IF(id % 3 = 0, 'a', 'b') AS source", "'xy' AS text")
+    drawn = mixing.mix_sources(df, {"a": 1, "b": 3}, total=8, columns=["source"])
+    assert drawn.columns == ["source", "copy_no"]
+    sizes = Counter(r.source for r in drawn.collect())
+    assert abs(sizes["a"] - 1) <= 1 and abs(sizes["b"] - 3) <= 1 and sum(sizes.values()) >= 3
+    strided = spark.range(5000).selectExpr("id * 4096 AS doc_id", "'a' AS source", "'x' AS text")
+    assert mixing.mix_sources(strided, total=777).count() in (777, 778)
+
+
+def test_mixing_odd_rows(odd, empty, spark):
     out = mixing.mix_sources(odd.withColumnRenamed("_gone", "copy_no"))
     assert set(out.columns) == (set(odd.columns) - {"_gone"}) | {"copy_no"}
     assert mixing.mix_sources(empty).count() == 0
     assert mixing.mix_sources(odd, {}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(odd, {"a": -1})
+    rows = [(None, None, "x"), (1, None, "x"), (2, "a", None), (3, "a", ""), (4, "b", "xxxx"), (4, "b", "xxxx"), (4, "b", "xxxx"), (4, "b", "yyyy")]
+    got = Counter((r.doc_id, r.source, r.text) for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect())
+    assert got[2, "a", None] == got[3, "a", ""] == 1  # a source without characters
+    assert got[None, None, "x"] + got[1, None, "x"] in (6, 7) and abs(got[None, None, "x"] - got[1, None, "x"]) <= 1  # 18 characters for three sources: 3 copies each
+    assert {got[4, "b", "xxxx"] + got[4, "b", "yyyy"]} <= {1, 2}
 
 
 # 5. Chat formatting
@@ -294,6 +376,54 @@ def test_language_id_held_out(spark):
     assert not out[999].accepted
 
 
+def brute_vector(text, vectors):
+    """A document's bundle, letter by letter."""
+    table = language_id._TABLE
+    symbols = []
+    for c in text:
+        n = ord(c)
+        x = int(table[n]) if n < 0x10000 else (language_id.SYMBOLS - language_id.SHARED + n % language_id.SHARED if n >= 0x20000 else 0)
+        if x or (symbols and symbols[-1]):
+            symbols.append(x)
+    padded = [0, *symbols, *([0] if symbols and symbols[-1] else [])]
+    dims = vectors.shape[1]
+    out = np.zeros(dims, np.int64)
+    for a, b, c in zip(padded, padded[1:], padded[2:]):
+        out += np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c].astype(np.int64)
+    return out
+
+
+def test_language_id_is_cosine_of_bundles(spark):
+    rng = random.Random(14)
+    scripts = {"el": "αβγδεζηθ", "ru": "абвгдежзик", "ar": "ابتثجحخد", "zh": "的一是不了人我在有他这中大来上国", "xx": "abcdefgh", "uk": "іїєґабвгде"}
+    rows = [(i, " ".join("".join(rng.choice(scripts[lang]) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 30))), lang) for i in range(360) for lang in [list(scripts)[i % 6]]]
+    rows += [(900, "ΑΒΓ δεζ, ηθ!", None), (901, "x", None), (902, "𠀀𠀁 😀 的一", None), (903, "😀 123", None), (904, "ĀĒĪ", None)]
+    given = [(i, t, lang if i // 6 % 2 else None) for i, t, lang in rows]
+    df = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    vectors = language_id.letters()[2]
+    each = {i: brute_vector(t, vectors).astype(float) for i, t, _ in given}
+    proto = {}
+    for i, _, lang in given:
+        if lang:
+            proto[lang] = proto.get(lang, 0) + np.rint(each[i] / np.linalg.norm(each[i]) * 4096)
+    right = 0
+    for r in language_id.identify_languages(df).collect():
+        v = each[r.doc_id]
+        if not v.any():
+            assert (r.language, r.cosine, r.accepted) == (None, None, False)
+            continue
+        cosines = {k: round(float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)), 9) for k, p in proto.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert r.language == best and r.cosine == pytest.approx(cosines[best], abs=2e-6)
+        right += r.doc_id < 360 and r.doc_id // 6 % 2 == 0 and r.language == rows[r.doc_id][2]
+    assert right >= 0.95 * 180  # held out; some have a single letter, and two languages share six
+
+
+def test_language_id_ties_go_to_the_first_name(spark):
+    df = spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a"), (3, "same words here", None)], "doc_id long, text string, lang string")
+    assert {r.language for r in language_id.identify_languages(df).collect()} == {"a"}
+
+
 def test_language_id_odd_rows(odd, empty):
     out = [(r.doc_id, r.language, r.accepted) for r in language_id.identify_languages(odd).collect()]
     assert len(out) == odd.count() and (1, None, False) in out and (2, None, False) in out and (3, None, False) in out
@@ -336,27 +466,50 @@ def brute_best_fit(lengths, capacity):
 
 def test_best_fit_equals_brute_force():
     rng = np.random.default_rng(11)
-    for capacity in (1, 7, 64, 100):
-        lengths = np.sort(rng.integers(1, capacity + 1, 400))[::-1]
-        where, offset = packing.best_fit(lengths, capacity)
-        used = np.bincount(where, weights=lengths)
-        assert (int(where.max()) + 1, sorted(capacity - used)) == brute_best_fit(lengths.tolist(), capacity)
-        assert used.max() <= capacity
-
-
-def test_pack_places_each_word_once(odd, empty):
-    rows = packing.pack(odd, 50, 20).collect()
+    for capacity in (1, 2, 7, 64, 100):
+        for n in (1, 30, 400):
+            lengths = np.sort(rng.integers(1, capacity + 1, n))[::-1]
+            if n == 400:
+                lengths = np.sort(np.minimum(capacity, rng.geometric(0.15, n)))[::-1]
+            plan, made = packing.best_fit(dict(Counter(lengths.tolist())), capacity)
+            rank = np.concatenate([np.arange(c) for c in Counter(lengths.tolist()).values()])
+            to = packing._placed(plan)(pa.array(lengths), pa.array(rank)).to_pylist()
+            filled = defaultdict(list)
+            for size, t in zip(lengths.tolist(), to):
+                filled[t["bin_id"]].append((t["position"], t["bin_offset"], size))
+            for placed in filled.values():
+                placed.sort()
+                assert [p for p, _, _ in placed] == list(range(len(placed)))
+                assert [o for _, o, _ in placed] == [sum(x[2] for x in placed[:i]) for i in range(len(placed))]
+            room = sorted(capacity - sum(x[2] for x in placed) for placed in filled.values())
+            assert (made, room) == brute_best_fit(lengths.tolist(), capacity) and set(filled) == set(range(made))
+
+
+def words_of(text):
+    return "".join(c if c > " " else " " for c in text or "").split()
+
+
+def test_pack_places_each_word_once(odd, empty, spark):
+    rng = random.Random(13)
+    more = spark.createDataFrame([(i % 150, prose(rng, rng.choice([1, 5, 49, 50, 51, 120])), "en", "s", 0, "", 0, "") for i in range(300)], DOCS)
+    same = more.limit(1).crossJoin(spark.range(70)).drop("id")
+    docs = odd.unionByName(more).unionByName(same)
     want = Counter()
-    for r in odd.collect():
-        want[r.doc_id] += len("".join(c if c > " " else " " for c in r.text or "").split())
-    got = Counter()
-    bins = defaultdict(list)
-    for r in rows:
-        got[r.doc_id] += r.n_words
-        bins[r.bin_id].append((r.position, r.bin_offset, r.n_words))
-    assert got == +want
-    for placed in bins.values():
-        placed.sort()
-        assert [p for p, _, _ in placed] == list(range(len(placed))) and placed[-1][1] + placed[-1][2] <= 50
-        assert all(b[1] == a[1] + a[2] for a, b in zip(placed, placed[1:]))
+    for r in docs.collect():
+        words = words_of(r.text)
+        for k in range(0, len(words), 50):
+            want[r.doc_id, k, " ".join(words[k : k + 50])] += 1
+    for bucket_rows in (3, 10_000):
+        got = Counter()
+        for r in packing.pack(docs, 50, bucket_rows).collect():
+            words = words_of(r.text)
+            assert len(words) == r.n_words <= 50 and set(r.doc_ids) == {p.doc_id for p in r.pieces}
+            at = 0
+            for p in r.pieces:
+                assert p.bin_offset == at and p.start_word == 50 * p.piece
+                got[p.doc_id, p.start_word, " ".join(words[at : at + p.n_words])] += 1
+                at += p.n_words
+        assert got == want
+    sizes = sorted((len(t.split()) for (_, _, t), c in want.items() for _ in range(c)), reverse=True)
+    assert packing.pack(docs, 50).count() == brute_best_fit(sizes, 50)[0]
     assert packing.pack(empty).count() == 0
