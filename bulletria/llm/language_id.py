@@ -1,7 +1,10 @@
 """Language identification with hyperdimensional profiles.
 
-Letters have random vectors of +1 and -1. A trigram's vector binds (multiplies)
-those of its letters, permuted by a cyclic shift that tells their place; a
+Letters have random vectors of +1 and -1: each lower-case letter below U+0800
+(Latin with its extensions, Greek, Cyrillic, Armenian, Hebrew, Arabic and more)
+one of its own, those above one of ``SHARED`` by their code, so that the many
+signs of Chinese, Japanese, Korean or Indian scripts are told apart but for chance
+collisions. A trigram's vector binds (multiplies) those of its letters, permuted by a cyclic shift that tells their place; a
 document's bundles (adds) the vectors of its trigrams, and a language's
 prototype those of its training documents, scaled to one length. The language
 is that of the prototype with the largest cosine.
@@ -11,10 +14,13 @@ Prototypes are fitted on documents that carry a language: at most about
 number. Everything is counted in whole numbers, so results repeat exactly.
 
 Defined results: a text that is null or has no letter has a null language and
-is rejected. One with ``MIN_LETTERS`` letters or more is rejected if its cosine
+is rejected; texts of any length are read whole. One with ``MIN_LETTERS`` letters or more is rejected if its cosine
 is under ``MIN_COSINE``; a shorter one never is, as its cosine says little.
 Equal cosines go to the language first by name. With no labelled document all
-languages are null and all documents are rejected.
+languages are null and all documents are rejected. Rows are judged one by one, so
+repeated ones repeat, with null doc_ids too; labelled rows need a doc_id to be in
+the sample of a language that has more of them than the sample holds. No rows
+give no rows. Columns other than doc_id, text and lang aren't looked at.
 """
 
 from __future__ import annotations
@@ -32,23 +38,22 @@ DIMS = 1024
 SAMPLE = 2_000
 MIN_COSINE = 0.15
 MIN_LETTERS = 40
-SYMBOLS = 64
+SYMBOLS = 2048
+SHARED = 911
+_BITS = SYMBOLS.bit_length() - 1
 _BLOCK = 4096
 RESULT = "struct<language: string, cosine: double, margin: double, accepted: boolean>"
 
 
 def _symbol_table() -> np.ndarray:
-    """Symbol of each code point up to U+FFFF: 0 is no letter."""
-    table = np.zeros(0x10000, np.uint8)
-    for c in range(0x80, 0x10000):
+    """Symbol of each code point up to U+FFFF: 0 is no letter, the last SHARED are shared."""
+    table = np.zeros(0x10000, np.uint16)
+    own: dict[str, int] = {}
+    for c in range(0x10000):
         if chr(c).isalpha():
-            table[c] = 59 + c % 5
-    for c in range(0xC0, 0x100):
-        if chr(c).isalpha():
-            low = ord(chr(c).lower())
-            table[c] = 27 + (low - 0xDF) if low < 0x100 else 58
-    for c in range(26):
-        table[65 + c] = table[97 + c] = 1 + c
+            low = chr(c).lower()
+            table[c] = own.setdefault(low, len(own) + 1) if ord(low[0]) < 0x800 else SYMBOLS - SHARED + ord(low[0]) % SHARED
+    assert len(own) < SYMBOLS - SHARED
     return table
 
 
@@ -69,9 +74,10 @@ def trigrams(span: S.Span) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     points = np.frombuffer(span.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     heads = np.cumsum((span.data & 0xC0) != 0x80)
     ends = np.r_[0, heads][span.offsets]
-    dtype = np.uint32 if span.docs < 1 << 14 else np.uint64  # narrow keys sort faster
+    dtype = np.uint64
     symbol = _TABLE[np.minimum(points, 0xFFFF)].astype(dtype)
-    symbol[points > 0xFFFF] = 63
+    far = points > 0xFFFF  # of these planes only those of further Chinese signs count as letters
+    symbol[far] = np.where(points[far] >= 0x20000, SYMBOLS - SHARED + points[far] % SHARED, 0)
     full = np.insert(symbol, ends, 0)  # a space before each document and after the last
     edge = ends + np.arange(len(ends))
     space = full == 0
@@ -86,13 +92,13 @@ def trigrams(span: S.Span) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     border[edge] = True
     middle = ~border[keep][1:-1]
     doc = (np.cumsum(border[keep]) - 1)[1:-1].astype(dtype)
-    code = (((seq[:-2] << dtype(6)) | seq[1:-1]) << dtype(6)) | seq[2:]
+    code = (((seq[:-2] << dtype(_BITS)) | seq[1:-1]) << dtype(_BITS)) | seq[2:]
     known = np.bincount(doc[middle & (seq[1:-1] > 0)], minlength=span.docs)
-    key = np.sort(((doc << dtype(18)) | code)[middle])
+    key = np.sort(((doc << dtype(3 * _BITS)) | code)[middle])
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
     count = np.diff(np.r_[heads, len(key)])
     key = key[heads].astype(np.int64)
-    return key >> 18, key & (SYMBOLS**3 - 1), count, known[: span.docs]
+    return key >> 3 * _BITS, key & (SYMBOLS**3 - 1), count, known[: span.docs]
 
 
 def bundles(span: S.Span, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
