@@ -35,12 +35,15 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Equal shares of characters from all sources; a document may come several times."""
+    """Equal shares of characters from all sources; a document may come several times.
+
+    Copies of a row are alike, so nothing later needs their numbers.
+    """
     return mix_sources(docs).drop("copy_no")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin, and the place in it, of each piece of each document."""
+    """Training sequences: the text of each bin, and the documents it is made of."""
     return pack(docs)
 
 
