@@ -43,11 +43,11 @@ RADIUS = 14
 SEGMENTS = 5
 BITS = 128
 #: Fingerprints whose values a task holds, about: twice as many call for a longer prefix.
-LEAF = 32_768
+LEAF = 16_384
 #: Leading bits of a prefix at least, so that small tables have tasks enough, and at most before crowded ones are made longer.
 LEAST_DEPTH, MOST_DEPTH = 3, 20
 #: Pairs compared at once, and members of a bucket from which the next segment thins it out.
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 18
 LARGE_BUCKET = 2_048
 
 _U = np.uint64
@@ -206,23 +206,25 @@ def _chain(high: np.ndarray, low: np.ndarray, start: int, radius: int) -> np.nda
 
 def _meeting(value: np.ndarray, flip: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys, with rows and flips: each value as it is, and those without a flip with each of the low bits flipped."""
-    own = np.flatnonzero(flip < 0)
-    keys = [value, *(value[own] ^ _U(1 << j) for j in range(bits))]
-    rows = np.concatenate([np.arange(len(value)), *[own] * bits])
+    own = np.flatnonzero(flip < 0).astype(np.int32)
+    value = value.astype(np.uint32)
+    key = np.concatenate([value, *(value[own] ^ np.uint32(1 << j) for j in range(bits))])
+    rows = np.concatenate([np.arange(len(value), dtype=np.int32), *[own] * bits])
     flips = np.concatenate([flip, *(np.full(len(own), j, np.int8) for j in range(bits))])
-    key = np.concatenate(keys)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
     return key[order], rows[order], flips[order]
 
 
 def _once(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of pairs that meet at keys with flips a and b: those for which it is the one that counts, the lesser of the two."""
     top = np.maximum(a, b)
-    return (top < 0) | ((a != b) & (key >> np.maximum(top, 0).astype(np.uint64) & _U(1) == 0))
+    return (top < 0) | ((a != b) & (key >> np.maximum(top, 0).astype(np.uint32) & np.uint32(1) == 0))
 
 
 def _bucket_pairs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of positions within buckets, some at a time."""
+    some = end - start > 1
+    start, end = start[some], end[some]
     size = end - start
     left = np.repeat(end, size) - 1
     at = np.concatenate([np.arange(a, b) for a, b in zip(start, end)]) if len(start) else start
@@ -283,7 +285,7 @@ def _find(radius: int, sub: int):
             cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(1, np.int64)
             for p, q in _bucket_pairs(cuts[:-1], cuts[1:]):
                 a, b = at[p], at[q]
-                good = _once(keys[p], sub_flips[p], sub_flips[q]) & _once(np.full(len(a), key, np.uint64), flips[a], flips[b])
+                good = _once(keys[p], sub_flips[p], sub_flips[q]) & _once(np.full(len(a), key, np.uint32), flips[a], flips[b])
                 a, b = a[good], b[good]
                 if h:
                     far = np.bitwise_count(halves[0][0][a] ^ halves[0][0][b]) > 2

@@ -69,8 +69,8 @@ class Span:
         return len(self.offsets) - 1
 
 
-def spans(column: pa.Array | pa.ChunkedArray, limit: int = SPAN_BYTES) -> Iterator[Span]:
-    """Spans of a string column; a null counts as an empty text."""
+def spans(column: pa.Array | pa.ChunkedArray, limit: int = SPAN_BYTES, most: int = SPAN_BYTES) -> Iterator[Span]:
+    """Spans, of so many bytes and documents at most, of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
@@ -85,7 +85,7 @@ def spans(column: pa.Array | pa.ChunkedArray, limit: int = SPAN_BYTES) -> Iterat
     i = 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), i + most, n)
         yield Span(i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
 
