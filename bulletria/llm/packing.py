@@ -35,8 +35,8 @@ from . import textscan as S
 from .common import materialize
 
 CAPACITY = 2048
-#: Pieces of one length that a task ranks, in expectation.
-BUCKET_ROWS = 20_000
+#: Words of pieces of one length that a task ranks, in expectation.
+BUCKET_WORDS = 4_000_000
 SEPARATOR = "\n"
 _PLAN = np.dtype([("first", "<i8"), ("each", "<i8"), ("bin", "<i8"), ("position", "<i8"), ("offset", "<i8")])
 
@@ -175,7 +175,7 @@ def _placed(plan: dict[int, np.ndarray]):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """(bin_id, n_words, pieces, doc_ids, text): the sequences, one row each.
 
     pieces tell doc_id, piece, start_word, n_words and bin_offset, in the order
@@ -194,7 +194,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_RO
         counts[capacity] = full
     plan, _ = best_fit(counts, capacity)
 
-    buckets = F.lit([-(-counts.get(n, 1) // bucket_rows) for n in range(1, capacity + 1)])
+    buckets = F.lit([max(1, -(-counts.get(n, 0) * n // bucket_words)) for n in range(1, capacity + 1)])
     bucket = F.pmod(F.xxhash64("doc_id", "hash", "piece"), F.element_at(buckets, F.col("n_words")).cast("long")).alias("bucket")
     each = words.select("doc_id", "hash", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(words - 1) div {capacity}"))).alias("piece"))
     each = each.withColumn("n_words", F.least(F.col("words") - F.col("piece") * capacity, F.lit(capacity)).cast("int"))

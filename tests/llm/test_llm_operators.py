@@ -499,9 +499,9 @@ def test_pack_places_each_word_once(odd, empty, spark):
         words = words_of(r.text)
         for k in range(0, len(words), 50):
             want[r.doc_id, k, " ".join(words[k : k + 50])] += 1
-    for bucket_rows in (3, 10_000):
+    for bucket_words in (3, 500, 10_000):
         got = Counter()
-        for r in packing.pack(docs, 50, bucket_rows).collect():
+        for r in packing.pack(docs, 50, bucket_words).collect():
             words = words_of(r.text)
             assert len(words) == r.n_words <= 50 and set(r.doc_ids) == {p.doc_id for p in r.pieces}
             at = 0
