@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -37,8 +38,12 @@ ENVELOPE = (
 )
 
 _FALLBACK = "Masthead could not be read in full; the issue's key comes from its content"
-_SCOPE = "Corrigendum scope and provenance defaulted; real extraction deferred to F31"
-_TABLE = "Table body segment coerced to text; richer table segment type deferred to roadmap M5"
+_SCOPE = "Corrigendum scope and provenance defaulted"
+_TABLE = "Table body segment coerced to text"
+
+
+def envelope_schema_ddl() -> str:
+    return ENVELOPE
 
 
 def keyed_notices(notices: DataFrame, issues: DataFrame) -> DataFrame:
@@ -54,21 +59,32 @@ def coerce_tables(segments: Column) -> Column:
     return F.transform(segments, lambda s: F.struct(F.when(s["type"] == "table", "text").otherwise(s["type"]).alias("type"), s["lines"].alias("lines")))
 
 
+def _warning(kind: str, message: str, where: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(message).alias("message"), where.alias("where")).cast(WARNING)
+
+
+def _scoped() -> Column:
+    return _warning("corrigendum_scope_defaulted", _SCOPE, F.create_map(F.lit("notice_no"), F.col("referenced_notice_no"), F.lit("page_no"), F.lit(None).cast("string")))
+
+
+def _coerced() -> Column:
+    return _warning("table_coerced_to_text", _TABLE, F.create_map(F.lit("notice_no"), F.col("notice_no"), F.lit("notice_id"), F.col("notice_id")))
+
+
+def _in_order(order: str, item: str) -> Column:
+    """The items of a group, as a list sorted by a whole number."""
+    pairs = F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("x")))
+    return F.transform(F.array_sort(pairs, lambda a, b: a["o"] - b["o"]), lambda e: e["x"])
+
+
 def warnings_of(issues: DataFrame, corrections: DataFrame, notices: DataFrame) -> DataFrame:
     """(doc_id, rank, at, kind, message, where): of the masthead, each correction, each coerced table."""
-    head = issues.where(F.col("gazette_issue_id").startswith("KE-GAZ-UNKNOWN-")).select(
-        "doc_id", F.lit(0).alias("rank"), F.array(F.lit(0), F.lit(0)).alias("at"), F.lit("masthead.parse_failed").alias("kind"), F.lit(_FALLBACK).alias("message"), F.expr("cast(map() as map<string,string>)").alias("where")
-    )
-    scoped = corrections.select(
-        "doc_id", F.lit(1).alias("rank"), F.array("position", F.lit(0)).alias("at"), F.lit("corrigendum_scope_defaulted").alias("kind"), F.lit(_SCOPE).alias("message"),
-        F.create_map(F.lit("notice_no"), F.col("referenced_notice_no"), F.lit("page_no"), F.lit(None).cast("string")).alias("where"),
-    )
+    nowhere = F.expr("cast(map() as map<string,string>)")
+    head = issues.where(F.col("gazette_issue_id").startswith("KE-GAZ-UNKNOWN-")).select("doc_id", F.lit(0).alias("rank"), F.array(F.lit(0), F.lit(0)).alias("at"), _warning("masthead.parse_failed", _FALLBACK, nowhere).alias("w"))
+    scoped = corrections.select("doc_id", F.lit(1).alias("rank"), F.array("position", F.lit(0)).alias("at"), _scoped().alias("w"))
     tables = notices.select("doc_id", "notice_idx", "notice_no", "notice_id", F.posexplode("body_segments").alias("i", "s")).where(F.col("s.type") == "table")
-    coerced = tables.select(
-        "doc_id", F.lit(2).alias("rank"), F.array("notice_idx", "i").alias("at"), F.lit("table_coerced_to_text").alias("kind"), F.lit(_TABLE).alias("message"),
-        F.create_map(F.lit("notice_no"), F.col("notice_no"), F.lit("notice_id"), F.col("notice_id")).alias("where"),
-    )
-    return head.unionByName(scoped).unionByName(coerced)
+    coerced = tables.select("doc_id", F.lit(2).alias("rank"), F.array("notice_idx", "i").alias("at"), _coerced().alias("w"))
+    return head.unionByName(scoped).unionByName(coerced).select("doc_id", "rank", "at", "w.*")
 
 
 def _provenance(kind: Column, start: Column, end: Column, header: Column, stitched: Column, ocr: Column) -> Column:
@@ -143,25 +159,19 @@ def build_envelopes(docs: DataFrame, layouts: DataFrame | None = None, extracted
 
     notices = scoring.cap_by_ocr(scoring.score_notices(segment.split_notices(base.select("doc_id", "text"))), base)
     notices = keyed_notices(notices, base)
-    corrections = fields.corrigenda(base.select("doc_id", "text"))
-    rollup = scoring.document_confidence(base, notices)
-
-    def listed(rows: DataFrame, order: list[str], item: Column, name: str) -> DataFrame:
-        numbered = rows.select("doc_id", F.struct(*order).alias("o"), item.alias("x"))
-        return numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o", "x")), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)).alias("l")).select("doc_id", F.transform("l", lambda e: e["x"]).alias(name))
-
-    warned = warnings_of(base, corrections, notices)
-    parts = [
-        listed(notices, ["notice_idx"], notice_struct(), "notices"),
-        listed(corrections, ["position"], corrigendum_struct(), "corrigenda"),
-        listed(warned, ["rank", "at"], F.struct("kind", "message", "where").cast(WARNING), "warnings"),
-        rollup.withColumnRenamed("layout", "_layout").withColumnRenamed("ocr_quality", "_ocr").withColumnRenamed("composite", "_composite"),
-    ]
-    whole = base
-    for part in parts:
-        whole = whole.join(part, "doc_id", "left")
-    empty = {"notices": NOTICE, "corrigenda": CORRIGENDUM, "warnings": WARNING}
-    counts = F.struct(*[F.col(b).cast("int").alias(b) for b in ("high", "medium", "low")])
+    lost = F.transform(F.filter("body_segments", lambda s: s["type"] == "table"), lambda s: _coerced())
+    # One pass over the notices: their list, what their warnings are, and the sums of their scores.
+    grouped = notices.select("doc_id", "notice_idx", notice_struct().alias("item"), lost.alias("lost"), "confidence_scores").groupBy("doc_id")
+    listed = grouped.agg(_in_order("notice_idx", "item").alias("notices"), F.flatten(_in_order("notice_idx", "lost")).alias("_lost"), *scoring.confidence_sums())
+    corrections = fields.corrigenda(base.select("doc_id", "text")).select("doc_id", "position", corrigendum_struct().alias("item"), _scoped().alias("warned")).groupBy("doc_id")
+    whole = base.join(listed, "doc_id", "left").join(corrections.agg(_in_order("position", "item").alias("corrigenda"), _in_order("position", "warned").alias("_scoped")), "doc_id", "left")
+    whole = whole.select("*", F.struct(*scoring.document_scores()).alias("_conf"))
+    no_warnings = F.expr(f"cast(array() as array<{WARNING}>)")
+    fallback = F.when(F.col("gazette_issue_id").startswith("KE-GAZ-UNKNOWN-"), F.array(_warning("masthead.parse_failed", _FALLBACK, F.expr("cast(map() as map<string,string>)"))))
+    warned = F.concat(*[F.coalesce(w, no_warnings) for w in (fallback, F.col("_scoped"), F.col("_lost"))])
+    empty = {"notices": NOTICE, "corrigenda": CORRIGENDUM}
+    c = F.col("_conf")
+    counts = F.struct(*[c[b].cast("int").alias(b) for b in ("high", "medium", "low")])
     shown = {
         "library_version": F.lit(LIBRARY_VERSION),
         "schema_version": F.lit(SCHEMA_VERSION),
@@ -169,12 +179,13 @@ def build_envelopes(docs: DataFrame, layouts: DataFrame | None = None, extracted
         "extracted_at": identity.extracted_at(extracted_at),
         "issue": F.struct("gazette_issue_id", "masthead_text", "parse_confidence", "volume", "issue_no", "publication_date", "supplement_no"),
         "document_confidence": F.struct(
-            F.col("_layout").alias("layout"), F.col("_ocr").alias("ocr_quality"), "notice_split", F.col("_composite").alias("composite"), counts.alias("counts"),
-            "mean_composite", "min_composite", F.col("n_notices").cast("int").alias("n_notices"), "ocr_reasons",
+            *[c[k].alias(k) for k in ("layout", "ocr_quality", "notice_split", "composite")], counts.alias("counts"), *[c[k].alias(k) for k in ("mean_composite", "min_composite")],
+            c["n_notices"].cast("int").alias("n_notices"), "ocr_reasons",
         ),
         "layout_info": F.struct("layout_confidence", F.col("layout_pages").alias("pages")),
         "cost": F.lit(None).cast("struct<llm_calls:int,prompt_tokens:int,completion_tokens:int,usd_estimate:double>"),
     }
+    shown["warnings"] = warned
     shown |= {k: F.coalesce(k, F.expr(f"cast(array() as array<{v}>)")) for k, v in empty.items()}
     names = T.StructType.fromDDL(ENVELOPE).fieldNames()
     return whole.select(*[shown[n].alias(n) if n in shown else F.col(n) for n in names])
@@ -281,29 +292,54 @@ def write_schema_file(path: str | Path, model: str = "envelope") -> Path:
     return Path(path)
 
 
+_NO_NAMES = "cast(array() as array<string>)"
+
+
+def stray_keys(raw: Column, of: T.StructType, path: str = "", also: tuple[str, ...] = ()) -> Column:
+    """Paths of the keys, at any depth, of a JSON text that a type doesn't have; open objects aren't looked into."""
+
+    def none_if_null(x: Column) -> Column:
+        return F.coalesce(x, F.expr(_NO_NAMES))
+
+    known = F.array(*[F.lit(n) for n in (*of.fieldNames(), *also)])
+    here = F.transform(none_if_null(F.array_except(F.json_object_keys(raw), known)), lambda k: F.concat(F.lit(path), k))
+    parts = [here]
+    for f in of:
+        kind, value = f.dataType, F.get_json_object(raw, f"$.{f.name}")
+        if f.name in _OPEN:
+            continue
+        if isinstance(kind, T.StructType):
+            parts.append(stray_keys(value, kind, f"{path}{f.name}."))
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            items = none_if_null(F.from_json(value, "array<string>"))
+            parts.append(F.flatten(F.transform(items, _strays_within(kind.elementType, f"{path}{f.name}[]."))))
+    return F.array_distinct(F.concat(*parts))
+
+
+def _strays_within(of: T.StructType, path: str) -> Callable[[Column], Column]:
+    return lambda x: stray_keys(x, of, path)
+
+
 def validate_envelope_json(texts: DataFrame, column: str = "value") -> DataFrame:
     """texts with envelope, and problems: what keeps each JSON text from being one.
 
-    Unknown keys of the top level, of the issue and of notices are found in the
-    text itself, as parsing would drop them.
+    Unknown keys are found at every level, in the text itself, as parsing would
+    drop them; not within objects that are open by design.
     """
     schema = T.StructType.fromDDL(ENVELOPE)
     names = [f.name for f in schema if f.name != "doc_id"]
     raw = F.col(column)
-    parsed = F.from_json(raw, schema, {"mode": "PERMISSIVE"})
     keys = F.json_object_keys(raw)
-    extra = F.array_except(keys, F.array(*[F.lit(n) for n in [*names, "doc_id"]]))
-    missing = F.array_except(F.array(*[F.lit(n) for n in names if n in _REQUIRED]), F.coalesce(keys, F.expr("cast(array() as array<string>)")))
-    notices = F.from_json(F.get_json_object(raw, "$.notices"), "array<map<string,string>>")
-    notice_keys = T._parse_datatype_string(NOTICE).fieldNames()
-    stray = F.array_distinct(F.flatten(F.transform(F.coalesce(notices, F.expr("cast(array() as array<map<string,string>>)")), lambda n: F.array_except(F.map_keys(n), F.array(*[F.lit(k) for k in notice_keys])))))
-    out = texts.withColumn("envelope", parsed)
+    missing = F.array_except(F.array(*[F.lit(n) for n in names if n in _REQUIRED]), F.coalesce(keys, F.expr(_NO_NAMES)))
+    in_issue = F.coalesce(F.json_object_keys(F.get_json_object(raw, "$.issue")), F.expr(_NO_NAMES))
+    lacking = F.array_except(F.array(*[F.lit(n) for n in schema["issue"].dataType.fieldNames() if n in _REQUIRED]), in_issue)
+    out = texts.withColumn("envelope", F.from_json(raw, schema, {"mode": "PERMISSIVE"}))
     rules = F.filter(F.array(*[F.when(F.expr(_nested(rule)), F.lit(f"invalid: {name}")) for name, rule in RULES.items()]), lambda r: r.isNotNull())
     found = F.concat(
-        F.when(keys.isNull(), F.array(F.lit("not a JSON object"))).otherwise(F.expr("cast(array() as array<string>)")),
-        F.transform(F.coalesce(extra, F.expr("cast(array() as array<string>)")), lambda k: F.concat(F.lit("unknown: "), k)),
+        F.when(keys.isNull(), F.array(F.lit("not a JSON object"))).otherwise(F.expr(_NO_NAMES)),
+        F.transform(stray_keys(raw, schema), lambda k: F.concat(F.lit("unknown: "), k)),
         F.transform(missing, lambda k: F.concat(F.lit("missing: "), k)),
-        F.transform(stray, lambda k: F.concat(F.lit("unknown: notices[]."), k)),
+        F.transform(lacking, lambda k: F.concat(F.lit("missing: issue."), k)),
         rules,
     )
     return out.withColumn("problems", found)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import round3
+from .enhance import SUB_SCORES
 from .scoring import HIGH, band
 
 TOLERANCE = 0.05
@@ -62,8 +63,8 @@ def report_rows(notices: DataFrame) -> DataFrame:
 def stratified_sample(scored: DataFrame, score: str, key: str, per_band: int = 20, seed: int = 42) -> DataFrame:
     """min(per_band, size) rows of each band, drawn by a hash of key and seed.
 
-    A first cut by a bound on the hash, from the bands' counts, leaves few rows
-    to rank; it is widened until no band can fall short.
+    The limit on the rank is applied within each partition before the shuffle
+    (WindowGroupLimit), so a band's last task ranks per_band rows a partition.
     """
     banded = partition_by_band(scored, score).withColumn("_h", F.xxhash64(F.lit(seed), key))
     ranked = banded.withColumn("_rank", F.row_number().over(Window.partitionBy("band").orderBy("_h", key)))
@@ -84,6 +85,16 @@ def regression_snapshot(canonical: DataFrame, documents: DataFrame) -> DataFrame
     return canonical.select("doc_id").join(shown, "doc_id", "left").withColumn("present", F.coalesce("_here", F.lit(False))).drop("_here")
 
 
+def write_snapshot(snapshot: DataFrame, path: str) -> None:
+    """regression_snapshot() as read_snapshot() reads it: one JSON object, keyed by document; a few canonical ones."""
+    import json
+
+    names = [c for c in snapshot.columns if c != "doc_id"]
+    rows = {str(r["doc_id"]): {c: r[c] for c in names if r["present"] or c == "present"} for r in snapshot.orderBy("doc_id").toLocalIterator()}
+    spark = snapshot.sparkSession
+    spark.createDataFrame([(json.dumps(rows, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def check_regression(expected: DataFrame, current: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, expected, actual, delta, failed): only a drop beyond the tolerance fails, a document that is missing doesn't."""
     both = expected.where("present").select("doc_id", F.col("mean_composite").alias("expected")).join(current.select("doc_id", F.col("mean_composite").alias("actual")), "doc_id")
@@ -108,11 +119,22 @@ def id_stability(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("doc_id", (a == b).alias("same"), (F.slice(a, 1, short) == F.slice(b, 1, short)).alias("prefix"))
 
 
-def explain_notice(notice_no: Column, header: Column, kind: Column, start: Column, end: Column, stitched: Column, scores: Column, reasons: Column, names: list[str]) -> Column:
-    """A notice's scores and reasons as lines of text."""
+def explain_opinion(opinion: Column) -> Column:
+    """What a model said of a notice, as lines of text; null without an opinion."""
+    given = F.concat_ws(", ", *[F.when(opinion[s].isNotNull(), F.concat(F.lit(f"{s}="), opinion[s].cast("string"))) for s in SUB_SCORES])
+    issues = F.when(F.size(opinion["issues"]) > 0, F.concat(F.lit("\n    issues: "), F.array_join(opinion["issues"], "; ")))
+    review = F.when(opinion["needs_human_review"], F.lit("\n    needs human review"))
+    failed = F.when(opinion["error"].isNotNull(), F.concat(F.lit("\n    error: "), opinion["error"]))
+    return F.when(opinion.isNotNull(), F.concat_ws("", F.lit("  model: "), given, issues, review, failed))
+
+
+def explain_notice(
+    notice_no: Column, header: Column, kind: Column, start: Column, end: Column, stitched: Column, scores: Column, reasons: Column, names: list[str], opinion: Column | None = None
+) -> Column:
+    """A notice's scores and reasons, and a model's opinion if there is one, as lines of text."""
     numbers = F.concat_ws(", ", *[F.when(scores[n].isNotNull(), F.concat(F.lit(f"{n}="), scores[n].cast("string"))) for n in names])
     listed = F.when(F.size(stitched) > 0, F.concat(F.lit("['"), F.array_join(stitched, "', '"), F.lit("']"))).otherwise("[]")
     place = F.concat(F.lit("  header_match="), F.coalesce(kind, F.lit("?")), F.format_string(" line_span=[%d, %d] stitched_from=", start, end), listed)
     why = F.when(F.size(reasons) > 0, F.concat(F.lit("  reasons:\n    - "), F.array_join(reasons, "\n    - ")))
     first = F.concat(F.lit("Notice "), F.coalesce(notice_no, F.lit("?")), F.lit(": "), F.coalesce(header, F.lit("(no header)")))
-    return F.concat_ws("\n", first, place, F.concat(F.lit("  scores: "), numbers), why)
+    return F.concat_ws("\n", first, place, F.concat(F.lit("  scores: "), numbers), why, F.lit(None).cast("string") if opinion is None else explain_opinion(opinion))

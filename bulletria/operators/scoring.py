@@ -186,6 +186,10 @@ def composite(scores: dict[str, Column], table: Column | None = None) -> Column:
 PARTS = ("notice_number", "structure", "spatial", "boundary")
 
 
+def _prefixed(part: str, reasons: Column) -> Column:
+    return F.transform(reasons, lambda x: F.concat(F.lit(f"{part}: "), x))
+
+
 def score_notices(notices: DataFrame) -> DataFrame:
     """notices with confidence_scores and confidence_reasons."""
     nexts = F.lead("line_start").over(Window.partitionBy("doc_id").orderBy("notice_idx"))
@@ -199,7 +203,7 @@ def score_notices(notices: DataFrame) -> DataFrame:
         "table": table_score(table),
     }
     scored = notices.withColumn("_next", nexts).withColumn("_read", spatial_parts(F.col("full_text")))
-    scored = scored.withColumns({f"_{k}": round3(s) for k, (s, _) in found.items()} | {f"_why_{k}": F.transform(r, lambda x, k=k: F.concat(F.lit(f"{k}: "), x)) for k, (_, r) in found.items()})
+    scored = scored.withColumns({f"_{k}": round3(s) for k, (s, _) in found.items()} | {f"_why_{k}": _prefixed(k, r) for k, (_, r) in found.items()})
     scored = scored.withColumn("_table", F.when(table.isNotNull(), F.col("_table")))
     scored = scored.withColumn("_composite", round3(composite({k: F.col(f"_{k}") for k in PARTS}, F.col("_table"))))
     fields = [F.col(f"_{k}").alias(k) for k in (*PARTS, "table", "composite")]
@@ -247,37 +251,41 @@ def band(score: Column) -> Column:
     return F.when(score.isNull(), "unscored").when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low")
 
 
-def document_confidence(docs: DataFrame, notices: DataFrame) -> DataFrame:
-    """(doc_id, layout, ocr_quality, notice_split, composite, high, medium, low, ...).
-
-    docs: (doc_id, layout_confidence, ocr_quality), also those without notices.
-    Sums are of whole thousandths, so they don't depend on the order of rows.
-    """
+def confidence_sums() -> list[Column]:
+    """Aggregates of a document's scored notices, that document_scores() reads; of whole thousandths, so they don't depend on the order of rows."""
     c = F.col("confidence_scores.composite")
-    sums = notices.groupBy("doc_id").agg(
+    return [
         *[F.count_if(band(c) == b).alias(b) for b in ("high", "medium", "low")],
         F.sum(F.round(c * 1000).cast("bigint")).alias("_sum"),
         F.count(c).alias("_n"),
         F.min(c).alias("_min"),
         F.count(F.lit(1)).alias("n_notices"),
-    )
-    zero = F.lit(0).cast("bigint")
-    both = docs.select("doc_id", "layout_confidence", "ocr_quality").join(sums, "doc_id", "left")
-    both = both.fillna(0, ["high", "medium", "low", "_sum", "_n", "n_notices"])
-    mean = F.col("_sum") / F.lit(1000.0) / F.greatest(F.col("_n"), F.lit(1))
+    ]
+
+
+def document_scores() -> list[Column]:
+    """layout, ocr_quality, notice_split, composite, ... of rows with layout_confidence, ocr_quality and confidence_sums(), null for none."""
     layout, ocr = F.col("layout_confidence"), F.col("ocr_quality")
-    some = F.col("_n") > 0
-    whole = F.when(some, mean * F.lit(0.6) + layout * F.lit(0.2) + ocr * F.lit(0.2)).otherwise(layout * F.lit(0.5) + ocr * F.lit(0.5))
-    return both.select(
-        "doc_id",
+    zero = F.lit(0).cast("bigint")
+    n, total = F.coalesce("_n", zero), F.coalesce("_sum", zero)
+    mean = total / F.lit(1000.0) / F.greatest(n, F.lit(1))
+    whole = F.when(n > 0, mean * F.lit(0.6) + layout * F.lit(0.2) + ocr * F.lit(0.2)).otherwise(layout * F.lit(0.5) + ocr * F.lit(0.5))
+    return [
         round3(clip(layout)).alias("layout"),
         round3(clip(ocr)).alias("ocr_quality"),
-        round3(clip(F.lit(1.0) - F.col("low") / F.greatest(F.col("_n"), F.lit(1)))).alias("notice_split"),
+        round3(clip(F.lit(1.0) - F.coalesce("low", zero) / F.greatest(n, F.lit(1)))).alias("notice_split"),
         round3(clip(whole)).alias("composite"),
-        "high",
-        "medium",
-        "low",
-        F.when(some, round3(mean)).otherwise(F.lit(0.0)).alias("mean_composite"),
-        F.when(some, round3(F.col("_min"))).otherwise(F.lit(0.0)).alias("min_composite"),
+        *[F.coalesce(b, zero).alias(b) for b in ("high", "medium", "low")],
+        F.when(n > 0, round3(mean)).otherwise(F.lit(0.0)).alias("mean_composite"),
+        F.when(n > 0, round3(F.col("_min"))).otherwise(F.lit(0.0)).alias("min_composite"),
         F.coalesce("n_notices", zero).alias("n_notices"),
-    )
+    ]
+
+
+def document_confidence(docs: DataFrame, notices: DataFrame) -> DataFrame:
+    """(doc_id, layout, ocr_quality, notice_split, composite, high, medium, low, ...).
+
+    docs: (doc_id, layout_confidence, ocr_quality), also those without notices.
+    """
+    both = docs.select("doc_id", "layout_confidence", "ocr_quality").join(notices.groupBy("doc_id").agg(*confidence_sums()), "doc_id", "left")
+    return both.select("doc_id", *document_scores())

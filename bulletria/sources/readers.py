@@ -55,7 +55,7 @@ def read_envelopes(spark: SparkSession, path: str, suffix: str = "_gazette_spati
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of plain files, with bytes that aren't UTF-8 replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(file_stem(F.col("path")).alias("doc_id"), F.make_valid_utf8(F.decode(F.col("content"), "UTF-8")).alias("text"))
+    return files.select(file_stem(F.col("path")).alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def first_file(explicit: str | None, variable: str, folders: Iterable[str], pattern: str = "*.pdf") -> str:
@@ -74,11 +74,12 @@ def _missing(what: str) -> str:
 def select_files(files: DataFrame, mode: str, names: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """The chosen rows of files (with a column name), with their rank; and the names that aren't there.
 
-    mode "all" keeps every row; "selected" those of names, in their order, each
-    once, by base name where a path is given.
+    mode "all" keeps every row, and rank grows with the name, with gaps: names are
+    sorted in ranges, so no task sees them all. "selected" keeps those of names,
+    in their order, each once, by base name where a path is given.
     """
     if mode == "all":
-        return files.withColumn("rank", F.row_number().over(Window.orderBy("name"))), []
+        return files.repartitionByRange("name").sortWithinPartitions("name").withColumn("rank", F.monotonically_increasing_id()), []
     if mode != "selected":
         raise ValueError("mode must be 'all' or 'selected'")
     wanted = list(dict.fromkeys(os.path.basename(n.strip()) for n in names or [] if n.strip()))

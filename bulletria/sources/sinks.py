@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import asdict, dataclass, field, fields
+from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +37,8 @@ class ModelPolicy:
     """Accepted and stored; parsing doesn't look at it."""
 
     mode: str = "disabled"
-    model: str = "gpt-4o-mini"
-    api_key_env: str = "OPENAI_API_KEY"
+    model: str = ""
+    api_key_env: str = ""
     stages: Mapping[str, bool] = field(default_factory=dict)
     cache_dir: str | None = None
 
@@ -116,6 +119,60 @@ def write_bundles(envelopes: DataFrame, out_dir: str, bundles: Bundles | Mapping
     return {name: f"{out_dir}/{name}" for name in rows}
 
 
+#: Ends of the names of a document's files, by bundle; texts are written as they are, everything else as JSON.
+FILES = {
+    "gazette_spatial_json": "_gazette_spatial.json", "notices": "_notices.json", "corrigenda": "_corrigenda.json", "document_index": "_index.json", "tables": "_tables.json",
+    "debug_trace": "_trace.json", "full_text": ".txt", "docling_markdown": ".md", "spatial_markdown": "_spatial.md", "docling_json": ".json",
+}
+
+
+def _documents(rows: DataFrame, name: str) -> DataFrame:
+    """(doc_id, body): what one bundle's file holds of each document."""
+    if name in RAW:
+        return rows.select("doc_id", F.col("value").cast("string").alias("body"))
+    value = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in ("doc_id", "position")]), {"ignoreNullFields": "false"})
+    if name in ("notices", "corrigenda", "tables"):
+        listed = rows.select("doc_id", F.struct("position", value.alias("v")).alias("x")).groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+        return listed.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["v"]), ","), F.lit("]")).alias("body"))
+    return rows.select("doc_id", value.alias("body"))
+
+
+def _write(base: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pa_fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{root}/{path}") as out:
+                    out.write(body.encode())
+            yield batch.select([0])
+
+    return run
+
+
+def write_files(envelopes: DataFrame, out_dir: str, bundles: Bundles | Mapping[str, bool] | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Write a file for each document and chosen bundle, in a folder a document; returns (path) of each.
+
+    Files are named by doc_id, or, where it is null or blank, by the first twelve
+    characters of pdf_sha256. out_dir is a URI, or a path that all executors
+    share. A file that is written again, after a failure, is overwritten whole.
+    Bundles without a row for a document (no table, no correction) have no file.
+    """
+    plain = F.regexp_replace(F.col("doc_id").cast("string"), r"[/\\]", "_")
+    stems = envelopes.select("doc_id", F.when(F.coalesce(F.trim(plain), F.lit("")) == "", F.left("pdf_sha256", F.lit(12))).otherwise(plain).alias("stem"))
+    parts = []
+    for name in resolve(bundles):
+        named = _documents(project(envelopes, name, sources), name).join(stems.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of")))
+        parts.append(named.where("body is not null").select(F.concat(F.col("stem"), F.lit("/"), F.col("stem"), F.lit(FILES[name])).alias("path"), "body"))
+    base = out_dir if "://" in out_dir else Path(out_dir).resolve().as_uri()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    listing = f"{base}/_written"
+    every.mapInArrow(_write(base), "path string").write.mode("overwrite").text(listing)
+    return envelopes.sparkSession.read.text(listing).withColumnRenamed("value", "path")
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """report.report_rows() as CSV."""
     rows.write.mode("overwrite").csv(path, header=True)
