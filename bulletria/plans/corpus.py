@@ -1,6 +1,6 @@
-"""A corpus of bulletins derived from the driver's tables, in portable SQL.
+"""A corpus of bulletins derived from the driver's tables.
 
-The same text runs in Spark and in DuckDB; ``{orders}`` and the like stand for
+``LINES`` runs in DuckDB; in Spark the same lines come from one array a row. ``{orders}`` and the like stand for
 the tables. Shapes: boxes on pages from lineitem, issues with headers (clean,
 misspelt and noisy), statutory text, tables, signatures, a masthead, corrections
 and a trailer from orders.
@@ -34,6 +34,19 @@ _LINES = [
     ("5", "'THE KENYA GAZETTE'", "n % 4 = 0"),
     ("6", "concat('serial  ', k, '  amount')", "n % 6 = 2"),
     ("7", "concat('no ', k, '  paid')", "n % 6 = 2"),
+    ("70", "'S/No. Name'", "n % 9 = 4"),
+    ("71", "'Position'", "n % 9 = 4"),
+    ("72", "'1'", "n % 9 = 4"),
+    ("73", "concat('K. Clerk ', k)", "n % 9 = 4"),
+    ("74", "'Clerk'", "n % 9 = 4"),
+    ("75", "'2 3'", "n % 9 = 4"),
+    ("76", "'A. Able   B. Baker'", "n % 9 = 4"),
+    ("77", "'Cook   Driver'", "n % 9 = 4"),
+    ("78", "CASE WHEN n % 4 = 0 THEN '4.' ELSE '6' END", "n % 9 = 4"),
+    ("79", "concat('Name ', CASE WHEN n % 5 = 0 THEN 'of somebody whose names are so many and so long that cells must have been merged' ELSE k END)", "n % 9 = 4"),
+    ("80", "CASE WHEN n % 2 = 0 THEN 'Guard' ELSE 'as a guard of the stores, whose duties are set out in the second schedule to the Act that is named above' END", "n % 9 = 4"),
+    ("81", "'7'", "n % 27 = 4"),
+    ("82", "'L. Last'", "n % 27 = 4"),
     ("90", "'Dated the 3rd August, 2010.'", "n % 2 = 0"),
     ("91", "'A. I. HASSAN,'", "n % 5 <> 0"),
 ]
@@ -79,11 +92,28 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_filled(BOXES, sf_dir))
 
 
+def _kept(lines: list[tuple[str, str, str]]) -> str:
+    """The lines of one row that its conditions let through, as an array: one scan for all of them."""
+    every = ", ".join(f"named_struct('slot', {slot}, 'line', CAST({line} AS STRING), 'keep', {when})" for slot, line, when in lines)
+    return f"transform(filter(array({every}), x -> x.keep), x -> named_struct('slot', x.slot, 'line', x.line))"
+
+
+_ACCOUNTS = "transform(sequence(8, CASE WHEN n % 3 = 0 THEN 52 ELSE 11 END), i -> named_struct('slot', 10 + i, 'line', concat('that account ', CAST((n * i) % 997 AS STRING), ' shall be settled')))"
+_PRICES = (
+    "CASE WHEN n % 4 = 1 THEN transform(sequence(1, 40), i -> named_struct('slot', i, 'line', CASE WHEN i = 30 THEN 'SUBSCRIPTION CHARGES' ELSE concat('price list item ', CAST(i AS STRING)) END)) "
+    "ELSE array() END"
+)
+
+
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): one bulletin for each customer with orders."""
-    return spark.sql(
-        f"SELECT doc_id, array_join(transform(array_sort(collect_list(struct(ord, slot, line))), x -> x.line), '\\n') AS text FROM ({_filled(LINES, sf_dir)}) GROUP BY doc_id"
+    """(doc_id, text): one bulletin for each customer with orders. The lines of LINES, from two scans of orders."""
+    k, c = (_filled(q, sf_dir).replace("VARCHAR(20)", "STRING") for q in (_K, _C))
+    own, head = (_kept(x).replace("VARCHAR(20)", "STRING") for x in (_LINES, _HEAD))
+    lines = (
+        f"SELECT doc_id, n AS ord, inline(concat({own}, {_ACCOUNTS})) FROM {k} "
+        f"UNION ALL SELECT n, -1, inline({head}) FROM {c} UNION ALL SELECT n, 1000000000000, inline({_PRICES}) FROM {c}"
     )
+    return spark.sql(f"SELECT doc_id, array_join(transform(array_sort(collect_list(struct(ord, slot, line))), x -> x.line), '\\n') AS text FROM ({lines}) GROUP BY doc_id")
 
 
 DUCK_ISSUES = f"SELECT doc_id, string_agg(line, chr(10) ORDER BY ord, slot, line) AS text FROM ({duck(LINES)}) GROUP BY doc_id"

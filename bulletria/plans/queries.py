@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import columns_of, ends_clean, is_blank, round3, split_lines, strip
-from ..operators import body, enhance, envelope, fields, identity, layout, report, scoring, segment
+from ..operators import body, enhance, envelope, fields, identity, layout, parse, report, scoring, segment
 from ..sources import sinks
 from .corpus import boxes, issues
 
@@ -153,7 +153,21 @@ def page_layout(spark, d):
 
 @query
 def document_layout(spark, d):
-    return layout.document_layout(_elements(spark, d))
+    modes = F.array_join(F.transform("pages", lambda p: p["mode"]), "|")
+    return layout.document_layout(_elements(spark, d)).select("doc_id", "layout_confidence", F.size("pages").alias("n_pages"), modes.alias("modes"))
+
+
+@query
+def parsed_layouts(spark, d):
+    """Layout documents made of the boxes, through the whole of the parser."""
+    box = F.struct("l", "t", "r", "b").alias("bbox")
+    one = F.struct("page_no", "elem_idx", F.lit("text").alias("label"), F.col("layer").alias("content_layer"), "text", F.col("text").alias("orig"), F.array(F.struct("page_no", box)).alias("prov"))
+    docs = _elements(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("texts"), F.collect_set("page_no").alias("nos"))
+    size = F.struct(F.lit(595.0).alias("width"), F.lit(842.0).alias("height")).alias("size")
+    pages = F.map_from_entries(F.transform("nos", lambda n: F.struct(n.cast("string"), F.struct(n.alias("page_no"), size))))
+    tables = F.expr("cast(null as array<struct<content_layer:string,prov:array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double>>>,data:struct<grid:array<array<struct<text:string>>>,table_cells:array<struct<text:string>>>>>)")
+    parsed = parse.parse_layouts(docs.select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("pdf_sha256"), "texts", tables.alias("tables"), pages.alias("pages")), _AT)
+    return parsed.select("doc_id", "layout_info.layout_confidence", F.size("layout_info.pages").alias("n_pages"), F.size("notices").alias("n_notices"), F.col("notices")[0]["content_sha256"].alias("content_sha256"))
 
 
 def _marks(spark: SparkSession, d: str, recovered: bool) -> DataFrame:
@@ -195,7 +209,8 @@ def title_stack(spark, d):
 
 @query
 def body_segments(spark, d):
-    return segment.cut_notices(issues(spark, d)).select("doc_id", "notice_idx", "body_segments")
+    rows = segment.cut_notices(issues(spark, d)).select("doc_id", "notice_idx", F.posexplode("body_segments").alias("segment", "s"))
+    return rows.select("doc_id", "notice_idx", "segment", "s.type", F.array_join("s.lines", "\n").alias("lines"))
 
 
 @query
@@ -206,10 +221,14 @@ def serial_tables(spark, d):
     ).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "p_name", "p_type"))).alias("ps"))
     merged = F.concat(F.element_at("ps", 1)["k"].cast("string"), F.lit(" "), (F.element_at("ps", 1)["k"] + 1).cast("string"))
     pair = F.array(merged, F.concat(F.element_at("ps", 1)["p_name"], F.lit("   second")), F.element_at("ps", 1)["p_type"])
-    rows = F.flatten(F.transform(F.slice("ps", 2, 100), lambda p: F.array(p["k"].cast("string"), p["p_name"], p["p_type"])))
+    rows = F.flatten(F.transform(F.slice("ps", 2, F.size("ps")), lambda p: F.array(p["k"].cast("string"), p["p_name"], p["p_type"])))
     chunk = F.concat(F.array(F.lit("S/No. Name"), F.lit("Position")), pair, rows)
-    tables = cells.withColumn("table", body.serial_table(chunk))
-    return tables.select("doc_id", "table", round3(scoring.table_score(F.col("table"))[0]).alias("score"))
+    made = cells.withColumn("made", body.serial_table(chunk))
+    return made.select("doc_id", _table_text(F.col("made")).alias("table"), round3(scoring.table_score(F.col("made"))[0]).alias("score"))
+
+
+def _table_text(table):
+    return F.array_join(F.transform(table["rows"], lambda r: F.concat_ws(",", r["s_no"], r["name"], r["position"])), ";")
 
 
 @query
@@ -226,7 +245,9 @@ def trimmed_notices(spark, d):
 
 @query
 def plain_notices(spark, d):
-    return segment.plain_notices(issues(spark, d), strip_headers=True)
+    rows = segment.plain_notices(issues(spark, d), strip_headers=True)
+    kinds = F.array_join(F.transform("body_segments", lambda s: s["type"]), ",")
+    return rows.select("doc_id", "notice_idx", "notice_no", F.array_join("title_lines", "|").alias("titles"), "body_text", kinds.alias("kinds"), _table_text(F.col("derived_table")).alias("table"))
 
 
 def _issues_keyed(spark: SparkSession, d: str) -> DataFrame:
@@ -269,7 +290,7 @@ def boundary_score(spark, d):
 
 @query
 def composite(spark, d):
-    return _scored(spark, d).select("doc_id", "notice_idx", *[F.col(f"confidence_scores.{k}").alias(k) for k in (*scoring.PARTS, "composite")])
+    return _scored(spark, d).select("doc_id", "notice_idx", *[F.col(f"confidence_scores.{k}").alias(k) for k in (*scoring.PARTS, "table", "composite")])
 
 
 @query
@@ -326,7 +347,8 @@ def envelopes(spark, d):
 
 @query
 def envelope_index(spark, d):
-    return envelope.index_rows(_envelopes(spark, d))
+    rows = envelope.index_rows(_envelopes(spark, d))
+    return rows.select(*[c for c in rows.columns if c not in ("document_confidence", "library_version", "schema_version", "extracted_at")], "document_confidence.*")
 
 
 @query
@@ -334,14 +356,34 @@ def envelope_violations(spark, d):
     return envelope.violations(_envelopes(spark, d)).select("doc_id", F.size("broken").alias("n_broken"))
 
 
+@query
+def bundle_notices(spark, d):
+    rows = sinks.project(_envelopes(spark, d), "notices")
+    p = F.col("provenance")
+    return rows.select(
+        "doc_id", "position", "notice_id", "gazette_notice_no", "gazette_notice_header", F.array_join("title_lines", "|").alias("titles"), "content_sha256", p["line_span"][0].alias("line_start"),
+        p["line_span"][1].alias("line_end"), p["header_match"].alias("header_match"), F.array_join(p["stitched_from"], ",").alias("stitched_from"),
+        F.col("other_attributes")["char_span_end_line"].alias("end_line"), F.col("confidence_scores.composite").alias("composite"), F.array_join("confidence_reasons", " | ").alias("reasons"),
+    )
+
+
+@query
+def bundle_corrigenda(spark, d):
+    return sinks.project(_envelopes(spark, d), "corrigenda").select("doc_id", "scope", "raw_text", "target_notice_no", "target_year", "amendment")
+
+
 @query
 def bundle_tables(spark, d):
-    return sinks.project(_envelopes(spark, d), "tables")
+    t = F.col("derived_table")
+    cells = F.array_join(F.transform(t["rows"], lambda r: F.array_join(r, ",")), ";")
+    return sinks.project(_envelopes(spark, d), "tables").select("doc_id", "position", "notice_id", "gazette_notice_no", cells.alias("table"), F.size(t["repairs"]).alias("n_repairs"))
 
 
 @query
 def bundle_debug_trace(spark, d):
-    return sinks.project(_envelopes(spark, d), "debug_trace")
+    rows = sinks.project(_envelopes(spark, d), "debug_trace").select("doc_id", F.posexplode("notices").alias("position", "n"))
+    s = F.col("n.confidence_scores")
+    return rows.select("doc_id", "position", "n.notice_id", s["composite"].alias("composite"), s["boundary"].alias("boundary"), F.array_join("n.confidence_reasons", " | ").alias("reasons"))
 
 
 @query

@@ -118,15 +118,17 @@ NUMBER = f"""CASE WHEN {_N} = '' THEN 0.0 WHEN regexp_full_match({_N}, '[0-9]{{2
   WHEN regexp_full_match({_N}, '[^0-9]+') THEN 0.1 ELSE 0.3 END::DOUBLE"""
 
 
+_MARKED = " OR ".join(f"contains(lower(t), '{m}')" for m in MARKERS)
+_DATE = r"regexp_matches(t, '(?i)\bDated\s+the\s+[0-9]{1,2}(?:st|[nr]d|th)?\s+\w+[,]?\s+[0-9]{4}')"
+_SIGNED = r"regexp_matches(t, '(?m)^\s*[A-Z][-A-Z .,'']{4,}\s*[,]?\s*$')"
+_SIGNALS = f"(({_MARKED})::INT + {_DATE}::INT + {_SIGNED}::INT)"
+
+
 def structure(titled: str, table: str) -> str:
     """Needs columns t (text) and lns (its lines that aren't blank)."""
-    marked = " OR ".join(f"contains(lower(t), '{m}')" for m in MARKERS)
-    date = r"regexp_matches(t, '(?i)\bDated\s+the\s+[0-9]{1,2}(?:st|[nr]d|th)?\s+\w+[,]?\s+[0-9]{4}')"
-    signed = r"regexp_matches(t, '(?m)^\s*[A-Z][-A-Z .,'']{4,}\s*[,]?\s*$')"
-    signals = f"(({marked})::INT + {date}::INT + {signed}::INT)"
     terms = _minus(
         ("length(t) < 50", "0.6"), ("length(t) >= 50 AND length(t) < 120", "0.2"), ("length(t) > 100000", "0.3"), ("len(lns) <= 2", "0.4"),
-        (f"{signals} = 0 AND NOT {table}", "0.3"), (f"{signals} = 1 AND NOT {table}", "0.1"), (f"NOT {titled}", "0.05"),
+        (f"{_SIGNALS} = 0 AND NOT {table}", "0.3"), (f"{_SIGNALS} = 1 AND NOT {table}", "0.1"), (f"NOT {titled}", "0.05"),
     )
     return _clip(f"1.0::DOUBLE + {terms}")
 
@@ -169,24 +171,158 @@ BOUNDARY = _round(
     )
 )
 
-# The first heading line of a chunk: whether titles exist.
-TITLED = rf"""
-opening AS (
-  SELECT doc_id, start, {_strip("first(line ORDER BY line_no)")} AS line FROM body WHERE NOT running AND kind <> 'none' AND regexp_matches(line, '\S') GROUP BY ALL
+_START = BODY_START.replace("(?Ui)", "(?i)")
+
+
+def chunked(lines: str, key: str, prefix: str = "") -> str:
+    """CTEs on the lines (key, i, line) of chunks: titles, what follows them, segments, rows of serial tables.
+
+    key: columns that tell a chunk. Segments of a chunk are those of its lines
+    behind the titles, or of all if titles are all there is.
+    """
+    p, on = prefix, ", ".join(key.split())
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in key.split())
+    two = r"\s*([0-9]+)\s+([0-9]+)[.]?\s*"
+    part = lambda c, n: rf"CASE WHEN regexp_matches({c}, '\S\s{{2,}}\S') THEN regexp_extract({c}, '^(.*?\S)\s{{2,}}(\S.*)$', {n}) ELSE {f'{c}' if n == 1 else repr('')} END"
+    return rf"""
+{p}coded AS (
+  SELECT {on}, i, line, {_strip("line")} AS s, CASE WHEN NOT regexp_matches(line, '\S') THEN 0 WHEN regexp_matches({_strip("line")}, '{_START}') THEN 2 ELSE 1 END AS code FROM {lines}
+),
+{p}heads AS (SELECT {on}, min(i) AS f, arg_min(code, i) AS code FROM {p}coded WHERE code <> 0 GROUP BY {on}),
+{p}stops AS (
+  SELECT {", ".join("h." + k for k in key.split())}, f, h.code, min(c.i) FILTER (c.i > f AND c.code <> 1) AS z, arg_min(c.code, c.i) FILTER (c.i > f AND c.code <> 1) AS stop_code, max(c.i) AS last
+  FROM {p}heads AS h JOIN {p}coded AS c ON {same("h", "c")} GROUP BY ALL
+),
+{p}titles AS (
+  SELECT {", ".join("c." + k for k in key.split())}, string_agg(s, '|' ORDER BY i) AS titles, list(s ORDER BY i) AS title_list FROM {p}coded AS c JOIN {p}stops AS t ON {same("c", "t")}
+  WHERE t.code <> 2 AND i >= f AND (z IS NULL OR i < z) GROUP BY ALL
+),
+{p}rests AS (
+  SELECT {", ".join("c." + k for k in key.split())}, row_number() OVER (PARTITION BY {", ".join("c." + k for k in key.split())} ORDER BY i) AS q, line, code = 0 AS blank,
+    len(list_filter(string_split_regex(s, ' {{2,}}'), lambda v: v <> '')) >= 2 AS wide,
+    NOT regexp_matches(s, '^[A-Z][a-z]') OR regexp_matches(s, '(?i)^S[.]?\s*/?\s*No[.]?') AS opens, length(line) < 100 AS short
+  FROM (
+    SELECT c.*, CASE WHEN f IS NULL THEN 0 WHEN t.code = 2 THEN f WHEN z IS NULL THEN 0 WHEN stop_code <> 0 THEN z WHEN z < last THEN z + 1 ELSE 0 END AS since
+    FROM {p}coded AS c LEFT JOIN {p}stops AS t ON {same("c", "t")}
+  ) AS c WHERE i >= since
+),
+{p}folded AS ({_fold(f"{p}rests", key, f"{p}folded")}),
+{p}segments AS ({_closed(f"{p}folded", key)}),
+{p}tops AS (SELECT {on}, min(i) AS top FROM {p}coded WHERE regexp_matches(s, '(?i)^S/No[.]?\s+Name') GROUP BY {on}),
+{p}cells AS (
+  SELECT {", ".join("c." + k for k in key.split())}, (c.i - top - 2) // 3 AS k, max(c.s) FILTER ((c.i - top - 2) % 3 = 0) AS serial, max(c.s) FILTER ((c.i - top - 2) % 3 = 1) AS name,
+    max(c.s) FILTER ((c.i - top - 2) % 3 = 2) AS position
+  FROM {p}coded AS c JOIN {p}tops AS t ON {same("c", "t")} JOIN {p}coded AS n ON {same("n", "t")} AND n.i = top + 1 AND lower(n.s) = 'position' WHERE c.i >= top + 2 GROUP BY ALL
+),
+{p}judged AS (
+  SELECT *, (regexp_full_match(serial, '[0-9]+[.]?') OR regexp_full_match(serial, '{two}')) AND name IS NOT NULL AS ok, coalesce(lower(position) LIKE 'as %' AND length(position) > 80, false) AS runs_on
+  FROM {p}cells
+),
+{p}sound AS (
+  SELECT * FROM (
+    SELECT *, bool_and(coalesce(ok, false)) OVER (PARTITION BY {on} ORDER BY k) AS fine,
+      coalesce(bool_or(runs_on) OVER (PARTITION BY {on} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over
+    FROM {p}judged
+  ) WHERE fine AND NOT over
+),
+{p}paired AS (
+  SELECT {on}, k, rtrim(serial, '.') AS serial, name, CASE WHEN runs_on THEN '' ELSE coalesce(position, '') END AS position,
+    try_cast(regexp_extract(serial, '^{two}$', 1) AS BIGINT) AS one, try_cast(regexp_extract(serial, '^{two}$', 2) AS BIGINT) AS two
+  FROM {p}sound
+),
+{p}serials AS (
+  SELECT {on}, k, 0 AS half, serial AS s_no, name, position, NULL AS repair FROM {p}paired WHERE coalesce(two - one <> 1, true)
+  UNION ALL SELECT {on}, k, 0, CAST(one AS VARCHAR), {part("name", 1)}, {part("position", 1)}, 'split merged row ' || one || '/' || two FROM {p}paired WHERE two - one = 1
+  UNION ALL SELECT {on}, k, 1, CAST(two AS VARCHAR), {part("name", 2)}, {part("position", 2)}, NULL FROM {p}paired WHERE two - one = 1
 ),
-wide AS (
-  SELECT doc_id, start, kind, NOT regexp_matches({_strip("line")}, '^[A-Z][a-z]') AND len(list_filter(string_split_regex({_strip("line")}, ' {{2,}}'), lambda v: v <> '')) >= 2 AS opens
-  FROM body WHERE NOT running
+{p}stepped AS (
+  SELECT *, coalesce(lead(no IGNORE NULLS) OVER (PARTITION BY {on} ORDER BY k, half) - no <> 1, false) AS jump, avg(size) OVER (PARTITION BY {on}) * 3 AS fence
+  FROM (SELECT *, try_cast(s_no AS BIGINT) AS no, CASE WHEN name <> '' THEN length({_strip("name")}) END AS size FROM {p}serials)
+),
+{p}tables AS (
+  SELECT {on}, string_agg(s_no || ',' || name || ',' || position, ';' ORDER BY k, half) AS rows, count(repair) AS repairs, count(*) AS n, count(*) FILTER (jump) AS jumps,
+    count(size) > 0 AND count(*) FILTER (size > fence) >= greatest(1, count(*) // 10) AS odd
+  FROM {p}stepped GROUP BY {on}
 )"""
 
-SCORED = f"""{NOTICES},{TITLED},
-{measured("SELECT n.*, n.full_text AS t, o.line IS NOT NULL AND NOT regexp_matches(o.line, '" + BODY_START.replace("(?Ui)", "(?i)") + "') AS titled FROM notices AS n LEFT JOIN opening AS o ON o.doc_id = n.doc_id AND o.start = n.line_start")},
-parts AS (
-  SELECT *, {NUMBER} AS notice_number, {_round(structure("titled", "false"))} AS structure, {BOUNDARY} AS boundary FROM spatials
+
+def _fold(rests: str, key: str, name: str) -> str:
+    """Segments of lines (key, q, line, blank, wide, opens, short): one line after the other, the kind and number of lines so far."""
+    cols = ", ".join(key.split())
+    fresh = "CASE WHEN x.blank THEN '' WHEN x.wide AND x.opens THEN 'table' ELSE 'text' END"
+    return f"""
+  SELECT {cols}, q, line, blank, {fresh.replace("x.", "")} AS kind, CASE WHEN blank THEN 0 ELSE 1 END AS size, 0 AS seg FROM {rests} WHERE q = 1
+  UNION ALL
+  SELECT {cols}, q, line, blank, CASE WHEN grows THEN 'table' WHEN flows THEN 'text' ELSE fresh END, CASE WHEN blank THEN 0 WHEN grows OR flows THEN size + 1 ELSE 1 END, seg + (NOT (grows OR flows))::INT
+  FROM (
+    SELECT {", ".join("x." + k for k in key.split())}, x.q, x.line, x.blank, w.size, w.seg, {fresh} AS fresh, NOT x.blank AND w.kind = 'table' AND (x.wide OR x.short) AS grows,
+      NOT x.blank AND NOT x.wide AND (w.kind = 'table' AND w.size = 1 AND NOT x.short OR w.kind = 'text') AS flows
+    FROM {name} AS w JOIN {rests} AS x ON {" AND ".join(f"x.{k} = w.{k}" for k in key.split())} AND x.q = w.q + 1
+  )"""
+
+
+def _closed(folded: str, key: str) -> str:
+    cols = ", ".join(key.split())
+    return f"""SELECT {cols}, seg, CASE WHEN bool_or(blank) THEN 'blank' WHEN arg_max(kind, q) = 'table' AND max(size) >= 2 THEN 'table' ELSE 'text' END AS type,
+    CASE WHEN bool_or(blank) THEN '' ELSE string_agg(line, chr(10) ORDER BY q) END AS lines FROM {folded} GROUP BY {cols}, seg"""
+
+
+_CHUNKS = "chunks AS (SELECT doc_id, start, row_number() OVER (PARTITION BY doc_id, start ORDER BY line_no) - 1 AS i, line FROM body WHERE NOT running AND kind <> 'none')"
+#: Those of pieces before they are stitched.
+PIECES = f"{NOTICES},\n{_CHUNKS},{chunked('chunks', 'doc_id start')}"
+#: With the segments of notices: those of their pieces, one after the other, or of what trimming left of a piece.
+_LEFT = rf"""
+lefts AS (
+  SELECT b.doc_id, b.start, row_number() OVER (PARTITION BY b.doc_id, b.start ORDER BY b.line_no) AS q, line, NOT regexp_matches(line, '\S') AS blank,
+    len(list_filter(string_split_regex({_strip("line")}, ' {{2,}}'), lambda v: v <> '')) >= 2 AS wide,
+    NOT regexp_matches({_strip("line")}, '^[A-Z][a-z]') OR regexp_matches({_strip("line")}, '(?i)^S[.]?\s*/?\s*No[.]?') AS opens, length(line) < 100 AS short
+  FROM body AS b JOIN cuts AS c ON c.doc_id = b.doc_id AND c.start = b.start AND b.line_no < c.cut WHERE NOT running
+),
+left_folded AS ({_fold("lefts", "doc_id start", "left_folded")}),
+left_segments AS ({_closed("left_folded", "doc_id start")}),
+members AS (
+  SELECT m.doc_id, m.line_no AS start, s.line_start FROM (SELECT doc_id, line_no, max(CASE WHEN fresh = 1 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS line_start
+    FROM (SELECT doc_id, line_start AS line_no, fresh FROM islands)) AS m JOIN placed AS s ON s.doc_id = m.doc_id AND s.line_start = m.line_start
 ),
-scored AS (
-  SELECT *, {_round(_clip("notice_number * 0.30::DOUBLE + structure * 0.25::DOUBLE + spatial * 0.25::DOUBLE + boundary * 0.20::DOUBLE"))} AS composite FROM parts
+notice_segments AS (
+  SELECT m.doc_id, m.line_start, s.start, seg, type FROM members AS m JOIN segments AS s ON s.doc_id = m.doc_id AND s.start = m.start
+  WHERE (m.doc_id, m.line_start) NOT IN (SELECT doc_id, start FROM cuts)
+  UNION ALL SELECT doc_id, start, start, seg, type FROM left_segments
 )"""
+SPLIT = f"{PIECES},{_LEFT}"
+
+
+def reasons(prefix: str, *pairs: tuple[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{prefix}: ' || {text} END" for when, text in pairs) + "], lambda x: x IS NOT NULL)"
+
+
+_TABLE_SCORE = _clip("1.0::DOUBLE + " + _minus(("repairs > 0", "least(0.3::DOUBLE, repairs * 0.05::DOUBLE)"), ("jumps > 0", "least(0.3::DOUBLE, jumps * 0.05::DOUBLE)"), ("odd", "0.15")))
+
+
+def _composite(boundary: str) -> str:
+    base = _clip(f"notice_number * 0.30::DOUBLE + structure * 0.25::DOUBLE + spatial * 0.25::DOUBLE + {boundary} * 0.20::DOUBLE")
+    return f"CASE WHEN table_score IS NULL THEN {base} ELSE {_clip(base + ' * 0.85::DOUBLE + table_score * 0.15::DOUBLE')} END"
+
+
+_NOTICES_READ = """SELECT n.*, n.full_text AS t, x.titles IS NOT NULL AS titled, g.rows AS table_rows, g.repairs, g.jumps, g.odd, coalesce(g.rows IS NOT NULL OR y.any_table, false) AS has_table
+  FROM notices AS n LEFT JOIN titles AS x ON x.doc_id = n.doc_id AND x.start = n.line_start LEFT JOIN tables AS g ON g.doc_id = n.doc_id AND g.start = n.line_start
+  LEFT JOIN (SELECT doc_id, line_start, bool_or(type = 'table') AS any_table FROM notice_segments GROUP BY ALL) AS y ON y.doc_id = n.doc_id AND y.line_start = n.line_start"""
+SCORED = f"""{SPLIT},
+{measured(_NOTICES_READ)},
+parts AS (
+  SELECT *, {NUMBER} AS notice_number, {_round(structure("titled", "has_table"))} AS structure, {BOUNDARY} AS boundary, CASE WHEN table_rows IS NOT NULL THEN {_round(_TABLE_SCORE)} END AS table_score
+  FROM spatials
+),
+scored AS (SELECT *, {_round(_composite("boundary"))} AS composite FROM parts)"""
+_S = "length(t) || ' chars)'"
+_DENSITY = "(caps / greatest(1, words))"
+_DENSE = f"({_DENSITY} > 0.10::DOUBLE AND caps > 20)"
+WHY = f"""list_concat(
+  {reasons("notice_number", (f"{_N} = ''", "'empty notice number'"), (f"{_N} <> '' AND NOT regexp_full_match({_N}, '[0-9]{{2,6}}')", f"CASE WHEN regexp_full_match({_N}, '[0-9]+/[0-9]{{4}}') THEN 'notice number in year/number form' WHEN regexp_full_match({_N}, '[0-9]+[A-Za-z]') THEN 'notice number has trailing letter' WHEN regexp_full_match({_N}, '[0-9]{{7,}}') THEN 'notice number is unusually long' WHEN regexp_full_match({_N}, '[0-9]') THEN 'single-digit notice number is suspicious' WHEN regexp_full_match({_N}, '[^0-9]+') THEN 'notice number has no digits' ELSE 'notice number has unexpected shape' END"))},
+  {reasons("structure", ("length(t) < 50", f"'body very short (' || {_S}"), ("length(t) >= 50 AND length(t) < 120", f"'body short (' || {_S}"), ("length(t) > 100000", f"'body very long (' || {_S} || ' -- possible merge'"), ("len(lns) <= 2", "'only header/no body content'"), (f"{_SIGNALS} = 0 AND NOT has_table", "'no legal marker, date, or signature found'"), (f"{_SIGNALS} = 1 AND NOT has_table", "'only one structural marker present'"), ("NOT titled", "'no title lines extracted'"))},
+  {reasons("spatial", ("t = ''", "'empty text'"), ("breaks >= 3", "breaks || ' mid-sentence breaks (possible column interleaving)'"), ("repeats >= 3", "repeats || ' repeated 6-grams (possible column merge)'"), (_DENSE, f"'high mid-sentence cap density ' || printf('%.2f', {_DENSITY}) || ' (' || caps || '/' || words || ' words)'"))},
+  {reasons("boundary", ("kind <> 'strict'", "CASE kind WHEN 'recovered' THEN 'header recovered from noisy line (capped at 0.6)' WHEN 'inferred' THEN 'header inferred (capped at 0.4)' ELSE 'no notice header found' END"), ("line_end - line_start <= 1", "'span is a single line'"), ("line_end - line_start = 2", "'span is very short'"), (f"NOT {_clean('full_text')}", "'text does not end with terminal punctuation'"), ("next_start - line_end > 20", "'gap of ' || (next_start - line_end) || ' lines to next notice -- possible missing content'"))},
+  {reasons("table", ("repairs > 0", "repairs || ' merged-row repairs applied'"), ("jumps > 0", "jumps || ' non-sequential serial jumps'"), ("odd", "'some cells dramatically longer than others (likely merged)'"))})"""
 
 _BAND = "CASE WHEN {0} IS NULL THEN 'unscored' WHEN {0} >= 0.80 THEN 'high' WHEN {0} >= 0.50 THEN 'medium' ELSE 'low' END"
 
@@ -246,10 +382,10 @@ banded AS (
 
 _MONTHS = "['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december']"
 _MASTHEAD = rf"""{LINES},
-heads AS (SELECT doc_id, array_to_string(a[1:30], chr(10)) AS h FROM arrays),
+openings AS (SELECT doc_id, array_to_string(a[1:30], chr(10)) AS h FROM arrays),
 found AS (
   SELECT doc_id, h, regexp_extract(h, '(?i)Vol[.]?\s*([CILVX]+)\s*-?\s*No[.]?\s*([0-9]+)', 1) AS v, regexp_extract(h, '(?i)Vol[.]?\s*([CILVX]+)\s*-?\s*No[.]?\s*([0-9]+)', 2) AS i,
-    regexp_extract(h, '(?i)(?:Supplement\s+No[.]?\s*|-S)([0-9]+)', 1) AS s, regexp_extract(h, '(?i)NAIROBI\s*[,]?\s*([0-9]{{1,2}})(?:st|[nr]d|th)?\s+([A-Za-z]+)[,]?\s*([0-9]{{4}})', ['d', 'm', 'y']) AS x FROM heads
+    regexp_extract(h, '(?i)(?:Supplement\s+No[.]?\s*|-S)([0-9]+)', 1) AS s, regexp_extract(h, '(?i)NAIROBI\s*[,]?\s*([0-9]{{1,2}})(?:st|[nr]d|th)?\s+([A-Za-z]+)[,]?\s*([0-9]{{4}})', ['d', 'm', 'y']) AS x FROM openings
 ),
 fields AS (
   SELECT doc_id, h, nullif(upper(v), '') AS volume, try_cast(i AS INTEGER) AS issue_no, try_cast(s AS INTEGER) AS supplement_no,
@@ -343,24 +479,157 @@ GROUP BY b.doc_id, b.page_no""", True),
     "notice_text": _with(NOTICES, "SELECT doc_id, notice_idx::INTEGER AS notice_idx, no AS notice_no, header, full_text FROM pieces"),
     "stitched_notices": _with(NOTICES, "SELECT doc_id, line_start::INTEGER AS line_start, no AS notice_no, array_to_string(stitched_from, ',') AS stitched_from, end_line::INTEGER AS end_line, full_text FROM stitched"),
     "trimmed_notices": _with(NOTICES, "SELECT doc_id, notice_idx::INTEGER AS notice_idx, no AS notice_no, line_end::INTEGER AS line_end, sha256(full_text) AS content_sha256 FROM notices"),
-    "title_stack": _with(f"{NOTICES},{TITLED}", rf"""SELECT p.doc_id, p.notice_idx::INTEGER AS notice_idx, coalesce(string_agg({_strip("b.line")}, '|' ORDER BY b.line_no) FILTER (b.line_no >= x.a AND b.line_no < x.z), '') AS titles
-FROM pieces AS p LEFT JOIN body AS b ON b.doc_id = p.doc_id AND b.start = p.line_start AND NOT b.running AND b.kind <> 'none' LEFT JOIN (
-  SELECT f.doc_id, f.start, f.a, coalesce(min(b.line_no) FILTER (b.line_no > f.a AND NOT regexp_matches(b.line, '\S') OR b.line_no >= f.a AND regexp_matches(trim(b.line), '{BODY_START.replace("(?Ui)", "(?i)")}')), 1000000000) AS z
-  FROM (SELECT doc_id, start, min(line_no) AS a FROM body WHERE NOT running AND regexp_matches(line, '\S') GROUP BY ALL) AS f JOIN body AS b ON b.doc_id = f.doc_id AND b.start = f.start AND NOT b.running GROUP BY ALL
-) AS x ON x.doc_id = p.doc_id AND x.start = p.line_start GROUP BY p.doc_id, p.notice_idx"""),
+    "title_stack": _with(PIECES, "SELECT p.doc_id, p.notice_idx::INTEGER AS notice_idx, coalesce(t.titles, '') AS titles FROM pieces AS p LEFT JOIN titles AS t ON t.doc_id = p.doc_id AND t.start = p.line_start", True),
+    "body_segments": _with(PIECES, "SELECT s.doc_id, p.notice_idx::INTEGER AS notice_idx, seg::INTEGER AS segment, type, lines FROM segments AS s JOIN pieces AS p ON p.doc_id = s.doc_id AND p.line_start = s.start", True),
     "masthead_fields": _with(_MASTHEAD, "SELECT doc_id, volume, CAST(issue_no AS VARCHAR) AS issue_no, CAST(publication_date AS VARCHAR) AS publication_date, CAST(supplement_no AS VARCHAR) AS supplement_no, parse_confidence, gazette_issue_id FROM masthead"),
     "notice_ids": _with(f"{_MASTHEAD}, {NOTICES[len(LINES) + 1 :]}", "SELECT n.doc_id, notice_idx::INTEGER AS notice_idx, gazette_issue_id || ':' || coalesce(no, '_orphan_' || line_start) AS notice_id FROM notices AS n JOIN masthead USING (doc_id)"),
     "corrigenda_refs": _with(f"{LINES},{_CORRECTIONS}", "SELECT doc_id, referenced_notice_no, referenced_year, error_text, correction_text, raw_text FROM corrections"),
     "notice_number_score": f"SELECT no, {NUMBER} AS score FROM (SELECT CASE o_orderkey % 7 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN o_orderkey || '/2010' WHEN 2 THEN o_orderkey || 'A' WHEN 3 THEN '1234567' || o_orderkey WHEN 4 THEN CAST(o_orderkey % 10 AS VARCHAR) WHEN 5 THEN o_orderstatus ELSE NULL END AS no FROM orders)",
     "boundary_score": _with(NOTICES, f"SELECT doc_id, notice_idx::INTEGER AS notice_idx, {BOUNDARY} AS score FROM notices"),
-    "document_confidence": _with(f"{SCORED},{_ROLLUP}", "SELECT * FROM rollup_rows"),
-    "composite": _with(SCORED, "SELECT doc_id, notice_idx::INTEGER AS notice_idx, notice_number, structure, spatial, boundary, composite FROM scored"),
+    "document_confidence": _with(f"{SCORED},{_ROLLUP}", "SELECT * FROM rollup_rows", True),
+    "composite": _with(SCORED, "SELECT doc_id, notice_idx::INTEGER AS notice_idx, notice_number, structure, spatial, boundary, table_score AS \"table\", composite FROM scored", True),
     "regression_check": _with(f"{SCORED},{_ROLLUP}", """SELECT doc_id, mean_composite AS actual, CASE doc_id % 5 WHEN 0 THEN mean_composite + 0.1::DOUBLE ELSE mean_composite END AS expected, doc_id % 5 = 0 AS failed
-FROM rollup_rows WHERE doc_id % 3 <> 0"""),
+FROM rollup_rows WHERE doc_id % 3 <> 0""", True),
     "warnings_by_kind": _with(
-        f"{_MASTHEAD}, {NOTICES[len(LINES) + 1 :]},{TITLED},{_CORRECTIONS}",
+        f"{_MASTHEAD}, {SPLIT[len(LINES) + 1 :]},{_CORRECTIONS}",
         """SELECT 'masthead.parse_failed' AS kind, count(*) AS n FROM masthead WHERE gazette_issue_id LIKE 'KE-GAZ-UNKNOWN-%' HAVING count(*) > 0
 UNION ALL SELECT 'corrigendum_scope_defaulted', count(*) FROM corrections HAVING count(*) > 0
-UNION ALL SELECT 'table_coerced_to_text', count(*) FROM (SELECT DISTINCT doc_id, start FROM wide WHERE opens AND kind <> 'none') HAVING count(*) > 0""",
+UNION ALL SELECT 'table_coerced_to_text', count(*) FROM notice_segments WHERE type = 'table' HAVING count(*) > 0""",
+        True,
     ),
 }
+
+_IDX = "notice_idx::INTEGER AS notice_idx"
+_BOTH = f"{_MASTHEAD}, {SCORED[len(LINES) + 1 :]},{_CORRECTIONS}"
+_NOTICE_ID = "gazette_issue_id || ':' || coalesce(no, '_orphan_' || line_start)"
+_KEYED = f"{_BOTH},keyed AS (SELECT n.*, {_NOTICE_ID} AS notice_id, gazette_issue_id FROM scored AS n JOIN masthead USING (doc_id))"
+_WHYS = f"whys AS (SELECT *, {WHY} AS why FROM keyed)"
+
+SQL["serial_tables"] = _with(
+    """parts AS (SELECT p_partkey // 10 AS doc_id, p_partkey AS k, p_name, p_type, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS r FROM part),
+chunks AS (
+  SELECT doc_id, 0 AS i, 'S/No. Name' AS line FROM parts WHERE r = 1 UNION ALL SELECT doc_id, 1, 'Position' FROM parts WHERE r = 1
+  UNION ALL SELECT doc_id, 3 * r - 1, CASE r WHEN 1 THEN k || ' ' || (k + 1) ELSE CAST(k AS VARCHAR) END FROM parts
+  UNION ALL SELECT doc_id, 3 * r, CASE r WHEN 1 THEN p_name || '   second' ELSE p_name END FROM parts UNION ALL SELECT doc_id, 3 * r + 1, p_type FROM parts
+)"""
+    + f",{chunked('chunks', 'doc_id')}",
+    f"SELECT doc_id, rows AS \"table\", {_round(_TABLE_SCORE)} AS score FROM tables",
+    True,
+)
+SQL["reasons"] = _with(
+    SCORED,
+    f"SELECT doc_id, no AS notice_no, header, composite, notice_number, structure, spatial, boundary, table_score AS \"table\", array_to_string({WHY}, ' | ') AS reasons FROM scored",
+    True,
+)
+SQL["explained"] = _with(
+    f"{SCORED}, whys AS (SELECT *, {WHY} AS why FROM scored)",
+    f"""SELECT doc_id, {_IDX}, 'Notice ' || coalesce(no, '?') || ': ' || coalesce(header, '(no header)') || chr(10) || '  header_match=' || kind || ' line_span=[' || line_start || ', ' || line_end || '] stitched_from='
+  || CASE WHEN len(stitched_from) > 0 THEN '[''' || array_to_string(stitched_from, ''', ''') || ''']' ELSE '[]' END || chr(10) || '  scores: notice_number=' || notice_number || ', structure=' || structure
+  || ', spatial=' || spatial || ', boundary=' || boundary || coalesce(', table=' || table_score, '') || ', composite=' || composite
+  || CASE WHEN len(why) > 0 THEN chr(10) || '  reasons:' || chr(10) || '    - ' || array_to_string(why, chr(10) || '    - ') ELSE '' END AS text FROM whys""",
+    True,
+)
+SQL["ocr_capped"] = _with(
+    f"{SCORED}, capped AS (SELECT *, doc_id % 7 = 0 AND kind = 'strict' AS poor, doc_id % 7 = 0 AND kind = 'strict' AND boundary > 0.6::DOUBLE AS held FROM scored)",
+    f"""SELECT doc_id, {_IDX}, CASE WHEN held THEN 0.6::DOUBLE ELSE boundary END AS boundary, CASE WHEN held THEN {_round(_composite("0.6::DOUBLE"))} ELSE composite END AS composite,
+  CASE WHEN poor THEN 0.4::DOUBLE END AS ocr_quality FROM capped""",
+    True,
+)
+SQL["id_stability"] = _with(
+    f"{_MASTHEAD}, {NOTICES[len(LINES) + 1 :]}, ids AS (SELECT n.doc_id, notice_idx, {_NOTICE_ID} AS id FROM notices AS n JOIN masthead USING (doc_id))",
+    """SELECT doc_id, a = b AS same, a[: least(len(a), len(b))] = b[: least(len(a), len(b))] AS prefix FROM (
+  SELECT doc_id, list(id ORDER BY notice_idx) AS a, coalesce(list(id ORDER BY notice_idx) FILTER (notice_idx > 0 OR doc_id % 2 = 0), []) AS b FROM ids GROUP BY doc_id)""",
+)
+SQL["highlighted"] = _with(
+    LINES,
+    r"SELECT doc_id, regexp_replace(text, '(?m)^(## )?(GAZETTE NOTICE NO\. [0-9]+)\s*$', "
+    r"""'\1<span style="background-color:#fff3cd;color:#1a1a1a;padding:0.15em 0.35em;border-radius:3px;font-weight:600;">\2</span>', 'g') AS markdown FROM issues""",
+)
+SQL["plain_notices"] = _with(
+    rf"""{LINES},
+plain AS (SELECT doc_id, line_no AS start, regexp_extract({_strip("line")}, '^GAZET(?:TE|E)\s+NOTICE\s+NO[.]\s*([0-9]+)\s*$', 1) AS no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS notice_idx
+  FROM lines WHERE regexp_matches({_strip("line")}, '^GAZET(?:TE|E)\s+NOTICE\s+NO[.]\s*[0-9]+\s*$')),
+chunks AS (
+  SELECT l.doc_id, h.start, row_number() OVER (PARTITION BY l.doc_id, h.start ORDER BY l.line_no) - 1 AS i, l.line
+  FROM lines AS l ASOF JOIN plain AS h ON l.doc_id = h.doc_id AND l.line_no >= h.start WHERE l.line_no > h.start AND NOT {_furniture("l.line")}
+),{chunked("chunks", "doc_id start")},
+bodies AS (SELECT doc_id, start, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS body_text FROM chunks GROUP BY ALL),
+kinds AS (SELECT doc_id, start, string_agg(type, ',' ORDER BY seg) AS kinds FROM segments GROUP BY ALL)""",
+    f"""SELECT h.doc_id, {_IDX}, no AS notice_no, coalesce(titles, '') AS titles, coalesce(body_text, '') AS body_text, coalesce(kinds, '') AS kinds, rows AS "table"
+FROM plain AS h LEFT JOIN titles AS t ON t.doc_id = h.doc_id AND t.start = h.start LEFT JOIN bodies AS b ON b.doc_id = h.doc_id AND b.start = h.start
+LEFT JOIN kinds AS k ON k.doc_id = h.doc_id AND k.start = h.start LEFT JOIN tables AS g ON g.doc_id = h.doc_id AND g.start = h.start""",
+    True,
+)
+_PAGES = f"""{_BANDS},
+page_rows AS (
+  SELECT b.doc_id, b.page_no, {_round("sum(confidence * n_elements ORDER BY band) / sum(n_elements)")} AS confidence, sum(n_elements) AS n,
+    CASE WHEN count(DISTINCT mode) > 1 THEN 'hybrid (' || any_value(top) || ' dominant)' ELSE any_value(top) END AS mode
+  FROM banded AS b JOIN (SELECT doc_id, page_no, first(mode ORDER BY c DESC, f) AS top FROM (SELECT doc_id, page_no, mode, count(*) AS c, min(band) AS f FROM banded GROUP BY ALL) GROUP BY ALL) USING (doc_id, page_no)
+  GROUP BY b.doc_id, b.page_no
+),
+every_page AS (SELECT a.doc_id, a.page_no, coalesce(confidence, 1.0::DOUBLE) AS confidence, coalesce(n, 0) AS n, coalesce(mode, 'empty') AS mode FROM (SELECT DISTINCT doc_id, page_no FROM boxes) AS a LEFT JOIN page_rows AS p USING (doc_id, page_no)),
+laid_out AS (
+  SELECT doc_id, CASE WHEN sum(n) = 0 THEN 1.0::DOUBLE ELSE {_round("sum(confidence * n ORDER BY page_no) / sum(n)")} END AS layout_confidence, CAST(count(*) AS INTEGER) AS n_pages,
+    string_agg(mode, '|' ORDER BY page_no) AS modes FROM every_page GROUP BY doc_id
+)"""
+SQL["document_layout"] = _with(_PAGES, "SELECT * FROM laid_out", True)
+_OCR_SCORE = _clip(
+    "least(letters / greatest(1, total) * 1.1::DOUBLE, 1.0::DOUBLE) * 0.5::DOUBLE + (1.0::DOUBLE - CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda v: v <= 2)) / len(ls) ELSE 0.0::DOUBLE END) * 0.3::DOUBLE"
+    " + least(1.0::DOUBLE, n / greatest(1, ceil(n / 1500.0::DOUBLE) * 1500)) * 0.2::DOUBLE"
+)
+SQL["envelope_index"] = _with(
+    rf"""{_KEYED},
+quality AS (
+  SELECT doc_id, CASE WHEN t = '' THEN 0.0::DOUBLE ELSE {_OCR_SCORE} END AS ocr FROM (
+    SELECT doc_id, text AS t, length(text) AS n, length(regexp_replace(text, '\P{{L}}', '', 'g')) AS letters, length(regexp_replace(text, '\s', '', 'g')) AS total,
+      list_transform(list_filter(string_split(text, chr(10) || chr(10)), lambda v: regexp_matches(v, '\S')), lambda v: length(v)) AS ls FROM issues
+  )
+),
+summed AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (composite < 0.5) AS low, CAST(sum(CAST(round(composite * 1000) AS BIGINT)) AS BIGINT) / 1000.0::DOUBLE / count(*) AS mean, min(composite) AS least FROM scored GROUP BY doc_id
+),
+told AS (SELECT doc_id, count(*) AS n FROM corrections GROUP BY doc_id),
+coerced AS (SELECT doc_id, count(*) AS n FROM notice_segments WHERE type = 'table' GROUP BY doc_id)""",
+    f"""SELECT CAST(m.doc_id AS VARCHAR) AS doc_id, gazette_issue_id, sha256(text) AS pdf_sha256, c.n::INTEGER AS n_notices, coalesce(t.n, 0)::INTEGER AS n_corrigenda,
+  ((gazette_issue_id LIKE 'KE-GAZ-UNKNOWN-%')::INT + coalesce(t.n, 0) + coalesce(w.n, 0))::INTEGER AS n_warnings, volume, issue_no, CAST(publication_date AS VARCHAR) AS publication_date,
+  1.0::DOUBLE AS layout, {_round("ocr")} AS ocr_quality, {_round(_clip("1.0::DOUBLE - low / c.n"))} AS notice_split, {_round("mean * 0.6::DOUBLE + 1.0::DOUBLE * 0.2::DOUBLE + ocr * 0.2::DOUBLE")} AS composite,
+  {_round("mean")} AS mean_composite, least AS min_composite
+FROM masthead AS m JOIN summed AS c USING (doc_id) JOIN quality USING (doc_id) LEFT JOIN told AS t ON t.doc_id = m.doc_id LEFT JOIN coerced AS w ON w.doc_id = m.doc_id""",
+    True,
+)
+SQL["envelope_violations"] = _with(LINES, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 0::INTEGER AS n_broken FROM issues")
+SQL["bundle_notices"] = _with(
+    f"{_KEYED}, {_WHYS}",
+    f"""SELECT CAST(n.doc_id AS VARCHAR) AS doc_id, n.notice_idx::INTEGER AS position, notice_id, no AS gazette_notice_no, header AS gazette_notice_header, coalesce(titles, '') AS titles,
+  sha256(full_text) AS content_sha256, line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, kind AS header_match, array_to_string(stitched_from, ',') AS stitched_from,
+  CASE kind WHEN 'none' THEN NULL ELSE CAST(end_line AS VARCHAR) END AS end_line, composite, array_to_string(why, ' | ') AS reasons
+FROM whys AS n LEFT JOIN titles AS x ON x.doc_id = n.doc_id AND x.start = n.line_start""",
+    True,
+)
+SQL["bundle_corrigenda"] = _with(
+    f"{LINES},{_CORRECTIONS}",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'notice_references_other' AS scope, raw_text, referenced_notice_no AS target_notice_no, CAST(referenced_year AS INTEGER) AS target_year, correction_text AS amendment
+FROM corrections""",
+)
+SQL["bundle_tables"] = _with(
+    _KEYED,
+    'SELECT CAST(doc_id AS VARCHAR) AS doc_id, notice_idx::INTEGER AS position, notice_id, no AS gazette_notice_no, table_rows AS "table", repairs::INTEGER AS n_repairs FROM keyed WHERE table_rows IS NOT NULL',
+    True,
+)
+SQL["bundle_debug_trace"] = _with(
+    f"{_KEYED}, {_WHYS}", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, notice_idx::INTEGER AS position, notice_id, composite, boundary, array_to_string(why, ' | ') AS reasons FROM whys", True
+)
+SQL["enhanced"] = _with(
+    f"{SCORED}, by_length AS (SELECT *, least(1.0::DOUBLE, length(full_text[1:4000]) / 1000.0::DOUBLE) AS x FROM scored), means AS (SELECT *, (0.0::DOUBLE + x + x + x + x) / 4 AS mean FROM by_length)",
+    f"""SELECT doc_id, {_IDX}, CASE WHEN composite < 0.8::DOUBLE THEN {_round("mean")} END AS semantic, CASE WHEN composite < 0.8::DOUBLE THEN {_round("composite * 0.6::DOUBLE + mean * 0.4::DOUBLE")} END AS composite_enhanced,
+  composite < 0.8::DOUBLE AND x < 0.5::DOUBLE AS needs_human_review FROM means""",
+    True,
+)
+SQL["parsed_layouts"] = _with(
+    f"{_PAGES}, {_ORDERED[_ORDERED.index('spread AS') :]}",
+    r"""SELECT CAST(l.doc_id AS VARCHAR) AS doc_id, layout_confidence, n_pages, 1::INTEGER AS n_notices, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS content_sha256 FROM laid_out AS l JOIN (
+  SELECT doc_id, string_agg(page_text, chr(10) || chr(10) ORDER BY page_no) AS text FROM (
+    SELECT p.doc_id, p.page_no, coalesce(string_agg(o.text, chr(10) || chr(10) ORDER BY pos), '') AS page_text
+    FROM (SELECT DISTINCT doc_id, page_no FROM boxes) AS p LEFT JOIN ordered AS o USING (doc_id, page_no) GROUP BY ALL) GROUP BY doc_id) AS t USING (doc_id)""",
+    True,
+)
