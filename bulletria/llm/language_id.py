@@ -41,9 +41,9 @@ MIN_LETTERS = 40
 SYMBOLS = 2048
 SHARED = 911
 _BITS = SYMBOLS.bit_length() - 1
-_BLOCK = 4096
-#: Documents whose bundles are made at once, so that memory doesn't depend on how short they are.
-SPAN_DOCS = 512
+_BLOCK = 1024
+#: Bytes and documents whose bundles are made at once, so that memory depends neither on Arrow's batches nor on how short texts are.
+SPAN_BYTES, SPAN_DOCS = 1 << 18, 512
 RESULT = "struct<language: string, cosine: double, margin: double, accepted: boolean>"
 
 
@@ -125,7 +125,7 @@ def _profile(dims: int):
         table, sums = letters(dims), {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for span in S.spans(batch.column(1), most=SPAN_DOCS):
+            for span in S.spans(batch.column(1), SPAN_BYTES, SPAN_DOCS):
                 vectors, known = bundles(span, table)
                 for d in np.flatnonzero(known):
                     v = vectors[d].astype(np.float64)
@@ -165,7 +165,7 @@ def identify(text: Column, prototypes: dict[str, np.ndarray], min_cosine: float
         table = letters(dims)
         best = np.full(len(texts), -1)
         top, lead, known = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for span in S.spans(texts, most=SPAN_DOCS):
+        for span in S.spans(texts, SPAN_BYTES, SPAN_DOCS):
             here = slice(span.first, span.first + span.docs)
             vectors, known[here] = bundles(span, table)
             v = vectors.astype(np.float64)
