@@ -14,8 +14,13 @@ however its paragraphs are set. They have the size of the template, or up to
 (2 - t) / t times it in steps of an eighth. A template is slid only over
 documents that have b * t / (2 - t) of its bigrams, the least that reach t.
 
-Defined results: null and empty texts, and units under two words, match nothing.
-Rows are scanned one by one, so repeated ones repeat. Of several units, or
+Long licenses are told by their opening, short ones by the whole text, all by the
+usual notices and sentences that name them.
+
+Defined results: null and empty texts, and units under two words, match nothing;
+texts of any length are scanned whole. No rows match nothing. Columns other than
+doc_id and text aren't looked at; a doc_id must be a number, or null. Rows are
+scanned one by one, so repeated ones repeat. Of several units, or
 templates, of one license the best score counts. Equal scores of two licenses
 are both reported.
 """
@@ -59,6 +64,18 @@ _BSD_TAIL = (
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "This project is licensed under the Apache License 2.0."),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy "
+        "of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the "
+        "License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
+        "language governing permissions and limitations under the License.",
+    ),
+    (
+        "Apache-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    ),
     ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     (
@@ -81,6 +98,38 @@ TEMPLATES: list[tuple[str, str]] = [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
         "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    (
+        "GPL-3.0",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and "
+        "distribute verbatim copies of this license document, but changing it is not allowed.",
+    ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+        "Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    (
+        "GPL-2.0",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute "
+        "verbatim copies of this license document, but changing it is not allowed.",
+    ),
+    (
+        "LGPL-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to "
+        "copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the "
+        "use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions",
+    ),
+    (
+        "BSL-1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of "
+        "the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the "
+        "Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    ),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     (
         "ISC",
@@ -97,6 +146,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]

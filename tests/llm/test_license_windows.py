@@ -52,3 +52,16 @@ def test_window_scores_are_dice():
         got: dict[str, float] = {}
         matcher.slide(unit, got)
         assert got.get("A", 0) == pytest.approx(want if want >= 0.8 else 0)
+
+
+def test_openings_and_notices_within_other_text(scanned):
+    rng = random.Random(5)
+    by_name = {}
+    for name, body in license_scan.TEMPLATES:
+        by_name.setdefault(name, []).append(body)
+    texts = [(name, f"{prose(rng, 300)} {body} {prose(rng, 300)}") for name, bodies in by_name.items() for body in bodies if len(body) > 60]
+    long = f"{prose(rng, 40_000)} {by_name['Zlib'][0]} {prose(rng, 40_000)}"
+    same = [texts[0][1]] * 3
+    got = scanned([t for _, t in texts] + [long] + same)
+    assert all(r.get(name) == 1.0 for r, (name, _) in zip(got, texts))
+    assert got[len(texts)] == {"Zlib": 1.0} and got[-1] == got[-2] == got[-3] == got[0]
