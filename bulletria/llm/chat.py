@@ -11,7 +11,8 @@ Defined results: rows with a null conv_id are left out. Turns go in the order of
 (turn, role, text), nulls first; a row that is repeated whole counts once. A null
 role reads "unknown", a null text as an empty one (for the hash they differ from
 both). In texts and roles "<|" becomes "< |", so that none can forge a marker.
-No rows give no rows.
+Texts of any length are rendered whole. No rows give no rows. Columns other than
+conv_id, turn, role and text aren't looked at; a conv_id and a turn must be numbers.
 """
 
 from __future__ import annotations

@@ -6,16 +6,17 @@ that begin with its segments. Entries make a trie over reversed host labels,
 then path segments. Of those that apply the longest decides: more host labels
 first, then more segments. An entry that both lists hold blocks.
 
-The trie is broadcast while its entries have at most ``TRIE_BYTES`` characters;
-beyond, each URL's possible entries are joined with the lists instead, with the
-same results.
+The trie is broadcast while its entries have at most ``TRIE_BYTES`` characters,
+about twenty times that in nested dictionaries; beyond, each URL's possible
+entries are joined with the lists instead, with the same results.
 
 Defined results: scheme, user, port, a dot at the end of the host, query and
 fragment are ignored; hosts are compared in lower case, paths as they are, empty
 segments dropped. A null URL, or one whose host isn't made of letters, digits,
 dots, hyphens and underscores, is "invalid". Where no entry applies the decision
 is "none". Null and hostless entries are ignored. Rows are decided one by one,
-so repeated ones repeat.
+so repeated ones repeat. URLs of any length are matched whole. No rows, or no
+entries, are fine. Columns other than page_id and url aren't looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRIE_BYTES = 32 << 20
+TRIE_BYTES = 4 << 20
 _URL = r"^\s*(?:(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//)?([^/?#]*)([^?#]*)"
 _RULE = "struct<entry: string, allow: boolean>"
 
@@ -99,11 +100,12 @@ def _by_trie(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.withColumn("_rule", F.arrow_udf(run, _RULE)("_host", "_path"))
 
 
-def _by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def _by_join(pages: DataFrame, rules: DataFrame, most_labels: int, most_segments: int) -> DataFrame:
+    """Entries of a URL with more labels or segments than any rule has aren't tried: they match none."""
     keyed = pages.withColumn("_row", F.monotonically_increasing_id())
     labels = F.split("_host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.struct(n.alias("a"), F.array_join(F.slice(labels, -n, n), ".").alias("h")))
-    ends = F.transform(F.sequence(F.lit(0), F.size("_path")), lambda n: F.struct(n.alias("b"), F.slice("_path", 1, n).alias("p")))
+    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most_labels))), lambda n: F.struct(n.alias("a"), F.array_join(F.slice(labels, -n, n), ".").alias("h")))
+    ends = F.transform(F.sequence(F.lit(0), F.least(F.size("_path"), F.lit(most_segments))), lambda n: F.struct(n.alias("b"), F.slice("_path", 1, n).alias("p")))
     tried = keyed.where("_host is not null").select("_host", "_path").distinct().select("_host", "_path", F.explode(hosts).alias("x"), ends.alias("ends"))
     tried = tried.select("_host", "_path", "x", F.explode("ends").alias("y"))
     tried = tried.select("_host", "_path", F.struct("x.a", "y.b").alias("rank"), F.concat_ws("/", F.concat(F.array("x.h"), F.col("y.p"))).alias("entry"))
@@ -115,10 +117,11 @@ def filter_urls(pages: DataFrame, allow: Entries, block: Entries, trie_bytes: in
     """(page_id, url, decision, entry): allow, block, none or invalid, and the entry that decided."""
     rules = _entries(pages, allow, block).cache()
     try:
-        size = rules.agg(F.sum(F.length("entry") + 1)).first()[0] or 0
+        parts = F.split("entry", "/")
+        size, labels, segments = rules.agg(F.sum(F.length("entry") + 1), F.max(F.size(F.split(parts[0], r"\."))), F.max(F.size(parts) - 1)).first()
         own = pages.select("page_id", F.col("url").cast("string").alias("url"))
         own = own.withColumns({"_host": _host(F.col("url")), "_path": _segments(F.col("url"))})
-        ruled = _by_trie(own, rules) if size <= trie_bytes else _by_join(own, _entries(pages, allow, block))
+        ruled = _by_trie(own, rules) if (size or 0) <= trie_bytes else _by_join(own, _entries(pages, allow, block), labels, segments)
     finally:
         rules.unpersist()
     decision = F.when(F.col("_host").isNull(), "invalid").when(F.col("_rule").isNull(), "none").when(F.col("_rule.allow"), "allow").otherwise("block")

@@ -329,6 +329,13 @@ def test_chat_keeps_maximal_conversations(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chat_with_very_long_and_null_rows(spark):
+    long = "word " * 100_000
+    rows = [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "assistant", None), (3, None, None, None), (3, None, None, None)]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {2, 3} and long in got[2].chat and got[3].n_turns == 1 and got[3].chat == "<|unknown|>\n<|end|>\n"
+
+
 # 6. License scan
 
 
@@ -447,6 +454,15 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.where("false"), [], []).count() == 0
 
 
+def test_very_long_urls(spark):
+    deep = "http://" + "a." * 100 + "example.org/" + "p/" * 500
+    pages = spark.createDataFrame([(1, deep), (1, deep), (None, deep + "q"), (2, "http://" + "x" * 5_000 + "/")], "page_id long, url string")
+    for limit in (url_filter.TRIE_BYTES, 0):
+        got = Counter((r.page_id, r.decision, r.entry) for r in url_filter.filter_urls(pages, ["example.org/p/p"], ["a.example.org"], limit).collect())
+        assert got == {(1, "block", "a.example.org"): 2, (None, "block", "a.example.org"): 1, (2, "none", None): 1}
+    assert url_filter.filter_urls(pages, [], []).where("decision = 'none'").count() == 4
+
+
 # 9. Packing
 
 
