@@ -7,7 +7,7 @@ from calendar import month_abbr, month_name
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, split_lines, strip
+from ..functions.text import is_blank, settled, split_lines, strip
 from .segment import is_header
 
 MASTHEAD_LINES = 30
@@ -59,9 +59,9 @@ def corrigenda(docs: DataFrame) -> DataFrame:
     one. The text is cut before each mention of another notice; a cut falls both
     before "IN" and before "Gazette", so pieces begin with the latter.
     """
-    lined = docs.where(~is_blank(F.col("text"))).select("doc_id", split_lines(F.col("text")).alias("lines"))
+    lined = settled(docs.where(~is_blank(F.col("text"))).select("doc_id", "text"), lines=split_lines(F.col("text")))
     first = F.array_position(F.transform("lines", is_header), True).cast("int")
-    ahead = lined.withColumn("ahead", F.when(first > 0, F.slice("lines", 1, first - 1)).otherwise(F.col("lines")))
+    ahead = settled(settled(lined, first=first), ahead=F.when(F.col("first") > 0, F.slice("lines", 1, F.col("first") - 1)).otherwise(F.col("lines")))
     title = F.array_position(F.transform("ahead", lambda x: strip(x).rlike("(?i)^CORRIGEND[AE]$")), True).cast("int")
     section = F.array_join(F.slice("ahead", F.greatest(title, F.lit(1)), F.greatest(F.size("ahead"), F.lit(1))), "\n")
     pieces = ahead.where(F.size("ahead") > 0).select("doc_id", F.posexplode(F.split(section, rf"(?Ui)(?={_OTHER_NOTICE}[0-9])", -1)).alias("_pos", "piece"))
