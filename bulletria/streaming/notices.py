@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.scoring import score_notices
-from ..operators.segment import split_notices
+from ..operators.segment import scored_notices
 
 
 def incoming(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
@@ -22,7 +21,7 @@ def write_notices(docs: DataFrame, out_dir: str, checkpoint: str, once: bool = F
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        score_notices(split_notices(batch)).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+        scored_notices(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
     writer = docs.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
