@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.layout import by_page, numbered
+
 BOXES = """
 SELECT CAST(l_orderkey % 500 AS BIGINT) AS doc_id, CAST(1 + (l_linenumber - 1) % 3 AS INT) AS page_no,
   CAST(row_number() OVER (PARTITION BY l_orderkey % 500, (l_linenumber - 1) % 3 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INT) AS elem_idx,
@@ -86,12 +88,38 @@ def duck(sql: str) -> str:
     return sql.format(orders="orders", lineitem="lineitem", steps="(SELECT unnest(range(1, 61)) AS i)")
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of BOXES, numbered by doc_id and page_no, so that what is read a page at a time needs no second shuffle."""
-    inner = BOXES.replace("PARTITION BY l_orderkey % 500, (l_linenumber - 1) % 3 ", "PARTITION BY doc_id, page_no ")
-    inner = inner.replace("CAST(l_orderkey % 500 AS BIGINT) AS doc_id, CAST(1 + (l_linenumber - 1) % 3 AS INT) AS page_no", "doc_id, page_no")
-    keyed = f"(SELECT *, CAST(l_orderkey % 500 AS BIGINT) AS doc_id, CAST(1 + (l_linenumber - 1) % 3 AS INT) AS page_no FROM parquet.`{sf_dir}/lineitem.parquet`)"
-    return spark.sql(inner.format(lineitem=keyed))
+#: The order that numbers boxes on their page.
+BOX_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def unnumbered(spark: SparkSession, sf_dir: str, *key: str) -> DataFrame:
+    """The rows of BOXES by page (or by that key), with the columns of BOX_ORDER in place of elem_idx. Only those are shuffled."""
+    doc, page = "CAST(l_orderkey % 500 AS BIGINT)", "CAST(1 + (l_linenumber - 1) % 3 AS INT)"
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    narrow = lines.select(*BOX_ORDER, F.expr("CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN true END").alias("furniture"))
+    named = {"doc_id": F.expr(doc), "page_no": F.expr(page)}
+    placed = by_page(narrow, *[named[k] for k in key or named])
+    made = re.sub(r"\s*CAST\(row_number\(\).*\n", "\n", BOXES).replace("l_linenumber = 7 AND l_returnflag = 'R'", "furniture")
+    columns = made[made.index("SELECT") + 6 : made.index("FROM {lineitem}")].replace("VARCHAR(20)", "STRING")
+    return placed.selectExpr("_page", *BOX_ORDER, *[c.strip() for c in _split(columns)])
+
+
+def _split(columns: str) -> list[str]:
+    """The columns of a SELECT, cut at the commas outside of brackets."""
+    out, depth = [""], 0
+    for c in columns:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def boxes(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of BOXES, or those columns of them."""
+    names = ("doc_id", "page_no", "elem_idx", "layer", "text", "l", "t", "r", "b", "width")
+    return numbered(unnumbered(spark, sf_dir), BOX_ORDER, keep or names)
 
 
 def _of(sql: str, n: str) -> str:
