@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as S
-from .common import discard, fresh, gathered, materialize, scatter
+from .common import discard, fresh, gathered, give_back, materialize, scatter
 
 RADIUS = 14
 SEGMENTS = 5
@@ -103,6 +103,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64))], names=["doc_id", "high", "low"]
         ).filter(keep)
+    give_back()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

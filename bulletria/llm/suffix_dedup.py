@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as S
-from .common import SCATTER, SCATTER_DDL, as_struct, gathered, materialize, scatter
+from .common import SCATTER, SCATTER_DDL, as_struct, gathered, give_back, materialize, scatter
 
 THRESHOLD = 50
 DIGIT = 10
-RECORDS_A_TASK = 2_000_000
-RECORDS_A_BATCH = 1 << 20
+RECORDS_A_TASK = 1_000_000
+RECORDS_A_BATCH = 1 << 18
 
 _U = np.uint64
 #: twice: whether the batch that the record comes from has an equal one.
@@ -147,6 +147,8 @@ def _anchors(threshold: int, digit: int, places: int):
                     found = []
         if found:
             yield from _send_anchors(found, places)
+        del found
+        give_back()
 
     return run
 
@@ -165,6 +167,7 @@ def _first_pass(places: int):
         cuts = np.flatnonzero(_heads(rec["doc"]))
         at = np.ascontiguousarray(rec["at"])
         lists = [at[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(rec)])]
+        give_back()
         return pa.table({"doc_id": pa.array(rec["doc"][cuts], pa.int64()), "at": pa.array(lists, pa.binary())})
 
     return run
@@ -223,6 +226,8 @@ def _windows(threshold: int, digit: int, places: int):
                     found, keys = [], []
         if found:
             yield from _send_windows(found, keys, places)
+        del found, keys
+        give_back()
 
     return run
 
@@ -260,6 +265,8 @@ def _second_pass(threshold: int, digit: int, places: int):
         rec, first = rec[order], head  # groups keep their places, so their first rows are where heads were
         out = np.empty(len(rec), _SPAN)
         out["doc"], out["at"], out["later"] = rec["doc"], rec["at"], ~first
+        del rec, rows, order
+        give_back()
         return pa.Table.from_batches([_sent(_by_doc(out["doc"], places), out)])
 
     return run

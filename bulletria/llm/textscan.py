@@ -1,7 +1,8 @@
 """Vectorised scanning of Arrow string columns as raw UTF-8 bytes.
 
-A column is cut into spans of whole documents of about a megabyte each, so
-that the temporary arrays stay in cache whatever the Arrow batch holds; a
+A column is cut into spans of whole documents of about 256 KB each, so that
+the temporary arrays, eight times that and more, stay in cache and small
+whatever the Arrow batch holds; a
 document longer than that is a span by itself.
 """
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SPAN_BYTES = 1 << 20
+SPAN_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
