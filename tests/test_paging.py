@@ -111,3 +111,29 @@ def test_runs_of_close_boxes_fold_as_single_ones():
         known = np.ones(n, bool)
         want = [x for i, j in zip(starts, np.r_[starts[1:], n]) for x in paging.fold_bands(t[i:j].tolist(), b[i:j].tolist(), 1.5)]
         assert paging.fold_pages((t, known), (b, known), starts, 1.5).tolist() == want
+
+
+def test_layouts_are_read_in_their_own_row(spark):
+    """Each document's boxes came from up to seven copies of its row, shuffled and joined."""
+    rng = random.Random(6)
+
+    def box(i):
+        x = rng.choice([40, 200, 320])
+        prov = [] if rng.random() < 0.1 else [(rng.choice([None, 1, 2]), None if rng.random() < 0.1 else (float(x), float(rng.randrange(700)), float(x + rng.choice([60, 200, 400])), float(rng.randrange(700))))]
+        return rng.choice([f"t{i}", "", None, "  "]), rng.choice([f"o{i}", None]), rng.choice([None, "body", "furniture"]), prov
+
+    prov = "array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double>>>"
+    ddl = f"doc_id string, texts array<struct<text:string,orig:string,content_layer:string,label:string,prov:{prov}>>, tables array<struct<content_layer:string,prov:{prov},data:struct<grid:array<array<struct<text:string>>>,table_cells:array<struct<text:string>>>>>, pages map<string,struct<page_no:int,size:struct<width:double,height:double>>>"
+    rows = []
+    for d in range(12):
+        boxes = [(t, o, layer, None, p) for t, o, layer, p in map(box, range(rng.choice([0, 3, 40])))]
+        tables = None if d % 3 == 0 else [("body", [(1, (40.0, 300.0, 500.0, 200.0))], ([[("a",), (None,)]], None))]
+        rows.append((f"d{d}", None if d == 5 else boxes, tables, None if d == 7 else {"1": (1, (500.0, 800.0)), "2": (2, None)}))
+    docs = spark.createDataFrame(rows, ddl)
+    read = layout.read_in_row(docs)
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    elements = layout.with_width(layout.extract_elements(docs), layout.page_sizes(docs))
+    texts = {r.doc_id: r.text for r in layout.document_text(elements).collect()}
+    info = {r.doc_id: (r.layout_confidence, r.pages) for r in layout.document_layout(elements).collect()}
+    for r in read.collect():
+        assert r.text == texts.get(r.doc_id, "") and (r.layout_confidence, r.layout_pages) == info.get(r.doc_id, (1.0, None))
