@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bulletria.functions.text import WHITE, strip
 from bulletria.operators import body, layout, notices, scoring, segment
-from bulletria.plans import corpus
+from bulletria.plans import corpus, queries
 
 
 def test_strip_takes_all_white_space(spark):
@@ -86,6 +86,33 @@ def test_issues_shuffle_keys_alone_and_keep_repeated_orders(spark, tmp_path):
     assert plan.count("Exchange") == 1 and "Window" not in plan
 
 
+def moved(spark, after):
+    """Bytes shuffled and spilled by the stages after that one, and the last stage so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jvm = sc._jvm
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    every = [stages.apply(i) for i in range(stages.size())]
+    late = [s for s in every if s.stageId() > after]
+    return sum(s.shuffleWriteBytes() + s.memoryBytesSpilled() + s.diskBytesSpilled() for s in late), max((s.stageId() for s in every), default=-1)
+
+
+def test_highlighted_moves_keys_in_proportion(spark, tmp_path):
+    """With lines of bulletins in the shuffle, it took about 500 bytes an order, on six copies of sf0.1 as on one."""
+    took = {}
+    for n in (5_000, 30_000):
+        d = str(tmp_path / str(n))
+        ids = spark.range(n, numPartitions=4).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7 % (n // 10)).alias("o_custkey"))
+        ids.write.parquet(f"{d}/orders.parquet")
+        last = moved(spark, -1)[1]
+        whole = F.sum(F.regexp_count("markdown", F.lit("<span style=[^>]*>GAZETTE NOTICE NO[.] [0-9]+</span>")))
+        row = queries.highlighted(spark, d).agg(F.count("*").alias("docs"), whole.alias("spans"), F.sum(F.length("markdown")).alias("size")).first()
+        took[n] = moved(spark, last)[0]
+        assert (row.docs, row.spans) == (n // 10, n * 8 // 10) and row.size > 800 * n
+        assert 0 < took[n] < 40 * n
+    assert took[30_000] < 7 * took[5_000]
+
+
 def test_notices_of_a_document_need_one_short_plan(spark):
     """A plan of scores by line, for each notice, took seconds to plan and 0.9 ms a notice to run; scores of both ways agree."""
     filler = ["that account 5 shall be settled", "", "a  b", "x;", "lower case", "S/No. Name", "Position", "1", "A. Able", "Clerk", "THE KENYA GAZETTE", "Dated the 3rd Ma\u0301rz, 2010.", "\u00c9t\u00e9 und mehr", "wer Und wer Dann", "A. I. HASSAN,"]
